@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import append_column, labelled_sample, residue, stored
+from ._common import append_column, labelled_sample, residue, stored, word_hashes
+from .order_minhash import items, sketch
 
 LEXICON_VOTERS, PATTERNS = 8, ("two_hits", "dense_hits", "shouting", "mark_runs")
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
@@ -98,7 +99,7 @@ class Reader:
         return votes, sorted(columns)
 
 
-def induce(rows: DataFrame, *, most: int = 4096, least: float = 2.0, surprise: float = 24.0) -> tuple[dict[str, int], dict[str, int]]:
+def induce(rows: DataFrame, *, most: int = 4096, least: float = 3.0, surprise: float = 24.0) -> tuple[dict[str, int], dict[str, int]]:
     """(vocabulary, lexicon) from rows (text, _label), by the counts of toxic and clean documents with a feature.
 
     The vocabulary has at most ``most`` features whose counts surprise by more than ``surprise`` (twice the log-likelihood
@@ -142,6 +143,31 @@ def induce(rows: DataFrame, *, most: int = 4096, least: float = 2.0, surprise: f
     return vocabulary, lexicon
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Rows (text, _label) of a bounded sample, without those that agree in an item sketch with a row before them.
+
+    In a group of copies every word looks as indicative as the one that earned the label, so one row of a group is enough.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(7).integers(1, 1 << 63, 12).astype(np.uint64) | np.uint64(1)
+        for b in batches:
+            found = [sketch(items(word_hashes(t.as_py()), 3), seeds, 1) for t in b.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], names=["text", "_label", "sketch"])
+
+    table = stored(rows.mapInArrow(sketches, "text STRING, _label INT, sketch ARRAY<LONG>"), "toxicity-sketches")
+    places = table.select(F.xxhash64("text").alias("h"), "sketch").distinct().orderBy("h").toArrow()  # bounded by the sample
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for h, values in zip(places.column(0).to_pylist(), places.column(1).to_pylist(), strict=True):
+        keys = set(enumerate(values))
+        if not keys & seen:
+            kept.append(h)
+        seen |= keys
+    chosen = rows.sparkSession.createDataFrame(pa.table({"h": pa.array(kept, pa.int64())}))
+    return table.select("text", "_label").dropDuplicates(["text"]).join(F.broadcast(chosen), F.xxhash64("text") == F.col("h"), "left_semi")
+
+
 def label_model(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, steps: int = 60) -> np.ndarray:
     """Posterior of class 1 for each row of ``patterns`` (0 or 1 by voter), by EM in the tree-augmented class model.
 
@@ -218,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = F.broadcast(labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, rows_per_class))
     known = base.join(sample, F.col("id") == F.col("_label_id")).select("text", "_label")
     known = stored(known, "toxicity-sample")
-    vocabulary, lexicon = induce(known)
+    vocabulary, lexicon = induce(without_copies(known))
     model = Model(vocabulary, lexicon)
     if not lexicon:
         n = known.agg(F.avg("_label")).first()[0]
