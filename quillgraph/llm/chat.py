@@ -21,12 +21,11 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turns): one row a conversation, its turns as an ordered array of (turn, role, text)."""
+    """(key, conv_id, turns): one row a conversation, its turns as an ordered array of (turn, role, text); the key is never null."""
     role, text = F.coalesce(F.col(role_col), F.lit("unknown")), F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    alone = F.when(F.col("conv_id").isNull(), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256))
-    per = rows.groupBy("conv_id", alone.alias("alone")).agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    return per.select("conv_id", "turns")
+    key = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("alone "), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256)))
+    return rows.groupBy(key.alias("key")).agg(F.min("conv_id").alias("conv_id"), F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
 
 
 def rolling_hashes(turns: Column) -> Column:
@@ -51,10 +50,13 @@ def render(turns: Column) -> Column:
 def maximal_conversations(turns: DataFrame, **columns: str) -> DataFrame:
     """conv_id (the smallest of equal ones), n_turns, n_copies (equal conversations), rendered: the maximal conversations."""
     every = conversations(turns, **columns).withColumn("hashes", rolling_hashes(F.col("turns")))
-    whole = every.groupBy(F.element_at("hashes", -1).alias("hash")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"), F.first("turns").alias("turns"))
+    # turns stay where they are: only hashes and keys meet those of equal conversations
+    first = F.struct(F.col("conv_id").isNull().alias("last"), "conv_id", "key")
+    whole = every.groupBy(F.element_at("hashes", -1).alias("hash")).agg(F.min(first).alias("first"), F.count("*").alias("n_copies"))
     prefixes = every.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("hash")).distinct()
-    kept = whole.join(prefixes, "hash", "left_anti")
-    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("rendered"))
+    kept = whole.join(prefixes, "hash", "left_anti").select(F.col("first.key").alias("key"), "n_copies")
+    found = every.select("key", "conv_id", "turns").join(kept, "key")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("rendered"))
 
 
 #: The same in DuckDB's SQL, without hashes: prefixes are compared as text.

@@ -144,14 +144,21 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int, ell: int, s
     return rows.mapInArrow(run, f"doc_id {kind}, node BINARY, n LONG, sketch ARRAY<LONG>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, *, text_col: str, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) of nodes that reach the threshold; only texts of nodes in pairs are joined."""
+def node_texts(docs: DataFrame, needed: DataFrame, *, text_col: str) -> DataFrame:
+    """(node, text): one text of each node in ``needed``, stored; the only shuffle of texts."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [node_key(t.as_py(), word_hashes(t.as_py())) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], names=["node", "text"])
 
+    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL").mapInArrow(keyed, "node BINARY, text BINARY")
+    return stored(texts.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, *, k: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of nodes that reach the threshold."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None, None
         for batch in batches:
@@ -166,9 +173,6 @@ def verified(docs: DataFrame, pairs: DataFrame, *, text_col: str, k: int, thresh
                 c = list(zip(*keep, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.float64())], names=["a", "b", "similarity"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL").mapInArrow(keyed, "node BINARY, text BINARY")
-    texts = stored(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a BINARY, b BINARY, similarity DOUBLE")
 
@@ -197,53 +201,75 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, class_id) of every row: class_id is the smallest id among the documents it is linked with, directly or not."""
     known = stored(sketched(docs, id_col=id_col, text_col=text_col, k=k, ell=ell, sketches=sketches, seed=seed), "omh-sketches")
     nodes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    entries = nodes.select("node", "n", F.posexplode("sketch").alias("band", "value"))
-    order = F.xxhash64("node", "band")
-    heads = entries.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "node", "n")).alias("head")).where("size > 1")
-    members = stored(entries.join(heads, ["band", "value"]).select("band", "value", "node", "n", "size", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "omh-buckets")
+    entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
+    order = F.xxhash64("node", "value")
+    heads = entries.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "node", "n")).alias("head")).where("size > 1")
+    members = stored(entries.join(heads, "value").select("value", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "omh-buckets")
+    texts = node_texts(docs, members, text_col=text_col)
     fits = F.least("n", "head_n") >= threshold * F.greatest("n", "head_n")
     pairs = members.where((F.col("node") != F.col("head")) & fits).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = stored(verified(docs, pairs, text_col=text_col, k=k, threshold=threshold), "omh-verified")
+    links = stored(verified(texts, pairs, k=k, threshold=threshold), "omh-verified")
     labels = components(links)
 
-    rest = stored(unsettled(members, labels, nodes, threshold), "omh-rest")
+    rest = stored(unsettled(members, labels, nodes, texts, k, threshold), "omh-rest")
     if rest.limit(1).count():
-        more = verified(docs, rest, text_col=text_col, k=k, threshold=threshold)
+        more = verified(texts, rest, k=k, threshold=threshold)
         labels = components(stored(links.union(more), "omh-all-links"))
     grouped = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return grouped.join(names, "component", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def own_items(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, own): how many items of each of ``nodes`` no other of them has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = items(word_hashes(text.as_py()), k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array(h)], names=["node", "item"])
+
+    rows = texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(spread, "node BINARY, item LONG")
+    single = rows.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return single.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """(a, b): pairs from buckets with several components, one of them outside the bucket's main one, that agree in two or more sketches.
 
     A bucket is dealt into blocks of nodes by hash; each group of the comparison holds one block of probes and one of targets.
-    A pair is given only in the first sketch in which its nodes agree.
+    A pair is given only in the first sketch in which its nodes agree, and only if the items that its nodes share with any node
+    of these buckets could be enough for the threshold.
     """
     # a node without a link is a component of its own
     own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    share = own.groupBy("band", "value", "component").agg(F.count("*").alias("c"))
-    main = share.groupBy("band", "value").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    mixed = main.where("parts > 1").select("band", "value", "main", F.ceil(F.col("all") / BLOCK).alias("tb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("pb"))
-    rows = own.select("band", "value", "node", "n", "component").join(mixed, ["band", "value"]).join(nodes.select("node", "sketch"), "node")
+    share = own.groupBy("value", "component").agg(F.count("*").alias("c"))
+    main = share.groupBy("value").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    mixed = main.where("parts > 1").select("value", "main", F.ceil(F.col("all") / BLOCK).alias("tb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("pb"))
+    rows = stored(own.select("value", "node", "n", "component").join(mixed, "value"), "omh-mixed")
+    facts = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "sketch").join(own_items(texts, rows, k), "node", "left")
+    rows = rows.join(facts.select("node", "sketch", (F.coalesce("own", F.lit(0))).alias("own")), "node").withColumn("shared", F.col("n") - F.col("own"))
     spread = F.abs(F.xxhash64("node", F.lit(41)))
-    targets = rows.select("band", "value", "node", "n", "component", "sketch", F.lit(False).alias("probe"), (spread % F.col("tb")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
-    probes = rows.where("component <> main").select("band", "value", "node", "n", "component", "sketch", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"), (spread % F.col("pb")).alias("p"))
+    columns = ["value", "node", "n", "component", "sketch", "shared"]
+    # what can't reach the threshold with anybody is no probe and no target
+    able = rows.where(F.col("shared") >= threshold * F.col("n") - 1e-6)
+    targets = able.select(*columns, F.lit(False).alias("probe"), (spread % F.col("tb")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
+    probes = able.where("component <> main").select(*columns, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"), (spread % F.col("pb")).alias("p"))
 
     def agree(group: pd.DataFrame) -> pd.DataFrame:
         probe = group[group["probe"]]
         target = group[~group["probe"]]
         if not len(probe) or not len(target):
             return pd.DataFrame({"a": [], "b": []})
-        band = int(group["band"].iloc[0])
         s, t = np.stack(probe["sketch"]), np.stack(target["sketch"])
+        band = int(np.flatnonzero(s[0] == group["value"].iloc[0])[0])
         n, m = probe["n"].to_numpy()[:, None], target["n"].to_numpy()[None, :]
+        most = np.minimum(probe["shared"].to_numpy()[:, None], target["shared"].to_numpy()[None, :])
         equal = s[:, None, :] == t[None, :, :]
-        good = (equal.sum(2) > 1) & (equal.argmax(2) == band) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
+        good = (equal.sum(2) > 1) & (equal.argmax(2) == band) & (most >= threshold * (n + m - most) - 1e-6)
         good &= probe["component"].to_numpy()[:, None] != target["component"].to_numpy()[None, :]
         i, j = np.nonzero(good)
         return pd.DataFrame({"a": probe["node"].to_numpy()[i], "b": target["node"].to_numpy()[j]})
 
-    found = targets.unionByName(probes).groupBy("band", "value", "t", "p").applyInPandas(agree, "a BINARY, b BINARY")
+    found = targets.unionByName(probes).groupBy("value", "t", "p").applyInPandas(agree, "a BINARY, b BINARY")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

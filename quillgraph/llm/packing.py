@@ -26,8 +26,8 @@ PIECE_SCHEMA = "doc_id {id}, pack_group LONG, start LONG, length LONG, ids BINAR
 PACKED = "doc_id {id}, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG, sequence_tokens LONG, padded_tokens LONG"
 #: The byte-level pre-tokenisation, in the form that the regex module reads (fixed value).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a cache; when it is full it starts anew, so memory is bounded.
-CACHE = 400_000
+#: Entries of a cache; when it is full half of it goes, so memory is bounded.
+CACHE = 700_000
 
 
 class Encoder:
@@ -39,8 +39,10 @@ class Encoder:
 
     def __init__(self, tokenizer_path: str) -> None:
         import json
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
@@ -59,17 +61,41 @@ class Encoder:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         # runs of white space join across blanks: such texts are cut by the expression as a whole
         split = [(self.find(t), []) if self.odd(t) else (self.find(w[0]), w[1:]) for t in texts for w in (t.split(" "),)]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        new = {w: self.find(" " + w) for w in set().union(*(w for _, w in split)).difference(self.words)}
-        unseen = list(set().union(*new.values(), *(p for p, _ in split)).difference(self.pieces))
-        ids = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
-        self.pieces.update(zip(unseen, (np.array(e.ids, "<u4").tobytes() for e in ids), strict=True))
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
-        self.words.update({w: b"".join(map(piece, p)) for w, p in new.items()})
-        return [b"".join([*map(piece, p), *map(word, w)]) for p, w in split]
+        # the entries that came first are the most frequent ones, so they stay
+        for name in ("words", "pieces"):
+            if len(cache := getattr(self, name)) > CACHE:
+                setattr(self, name, dict(islice(cache.items(), CACHE // 2)))
+        new = {w: self.cut(w) for w in set().union(*(w for _, w in split)).difference(self.words)}
+        self.learn(list(set().union(*new.values(), *(p for p, _ in split)).difference(self.pieces)))
+        piece = self.pieces.__getitem__
+        once = {w: b"".join(map(piece, p)) for w, p in new.items()}
+        self.words.update(once)
+        word = self.words.__getitem__
+        out = [b"".join([*map(piece, p), *map(word, w)]) for p, w in split]
+        for w in once:  # words across lines hardly come again
+            if "\n" in w:
+                del self.words[w]
+        return out
+
+    def cut(self, word: str) -> list[str]:
+        """The pre-tokens of a blank and a word."""
+        if word.isalpha():
+            return [" " + word]
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return [" " + word[:-1], word[-1]]
+        return self.find(" " + word)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Add the ids of pre-tokens. Those of a blank and letters are encoded in one text, which falls into just them."""
+        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        if plain:
+            e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+            ids, owners = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            ends = [0, *(4 * (np.flatnonzero(np.diff(owners)) + 1)).tolist(), len(ids)]
+            if len(ends) == len(plain) + 1:
+                self.pieces.update(zip(plain, (ids[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        rest = [p for p in pieces if p not in self.pieces]
+        self.pieces.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
 
 @lru_cache(1)

@@ -314,13 +314,17 @@ def test_unsettled_buckets_are_compared(spark):
     rng = random.Random(3)
     v = [f"w{i}" for i in range(500)]
     base = words(rng, 80, v).split()
-    near = [" ".join(base), " ".join([*base[:-1], "x"]), words(rng, 80, v)]
+    near = [" ".join(base), " ".join([*base[:-1], "x"])]
     known = order_minhash.sketched(table(spark, near), id_col="doc_id", text_col="text", k=5, ell=2, sketches=6, seed=1)
     nodes = known.select("node", "n", "sketch")
     by = {r["doc_id"]: r["node"] for r in known.collect()}
-    members = spark.createDataFrame([(b, 7, bytes(by[i]), 76) for b in range(6) for i in range(3)], "band INT, value LONG, node BINARY, n LONG")
+    values = {r["doc_id"]: r["sketch"] for r in known.collect()}
+    shared = [v for v in values[0] if v in values[1]]
+    assert len(shared) > 1
+    members = spark.createDataFrame([(v, bytes(by[i]), 76) for v in shared for i in range(2)], "value LONG, node BINARY, n LONG")
+    texts = order_minhash.node_texts(table(spark, near), members, text_col="text")
     none = spark.createDataFrame([], "node BINARY, component BINARY")
-    got = {(bytes(r["a"]), bytes(r["b"])) for r in order_minhash.unsettled(members, none, nodes, 0.8).collect()}
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in order_minhash.unsettled(members, none, nodes, texts, 5, 0.8).collect()}
     assert got == {tuple(sorted((bytes(by[0]), bytes(by[1]))))}
 
 
