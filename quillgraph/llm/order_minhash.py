@@ -9,11 +9,14 @@ Similarity is that of an alignment: the longest common subsequence of the labell
 documents, ``lcs / (n + m - lcs)``. Alignments that reach the threshold stay in a band of ``(1 - t) / (1 + t) * (n + m)``
 places around the diagonal; matches outside it are left out.
 
-Plan: equal word sequences become one node; the nodes of each sketch value (bucket) are verified against one of them, a
-different one in each sketch; connected components follow by label propagation; where a bucket still has several components,
+Plan: equal word sequences become one node; each node is first verified against one other, the lowest-hashed node of its
+buckets (the nodes of one sketch value), so most of a group of copies is linked by one comparison a node. Then the nodes of
+each bucket are verified against one of them, a different one in each sketch, unless both are in one class already, which
+no further link would change. Connected components follow by label propagation; where a bucket still has several components,
 its nodes outside the bucket's main component are compared with all others of the bucket, in blocks of both, by their
-sketches, and pairs that agree in two or more sketches are verified as well. So a bucket of m copies costs about m
-verifications, no bucket is gathered in one task, and nothing is capped.
+sketches, and pairs that agree in two or more sketches are verified as well: first those that agree most, then all whose
+nodes are still in different components. So a bucket of m copies costs about m verifications, no bucket is gathered in one
+task, and nothing is capped.
 
 Edge cases: a null text is a class of its own, texts without a word are one only with equal texts; a text with fewer than
 ``k`` words is one item; repeated rows have equal classes; a class is named by its smallest id, ties don't arise; an empty table
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import mix, stored, word_hashes
@@ -37,6 +40,8 @@ from ._common import mix, stored, word_hashes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Items hashed at a time, and nodes a block of the comparison of sketches.
 CHUNK, BLOCK = 1 << 15, 64
+#: Hash classes of a node's item histogram.
+MARKS = 128
 
 
 def items(w: np.ndarray, k: int) -> np.ndarray:
@@ -178,23 +183,39 @@ def verified(texts: DataFrame, pairs: DataFrame, *, k: int, threshold: float) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes in ``links`` (a, b): the smallest node that is reachable.
+    """(node, component) of all nodes in ``links`` (a, b): one node of each connected component names it.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so the number of rounds grows
-    with the logarithm of a component's diameter; every round is written to the shared folder.
+    By contraction: every node points at its smallest neighbour, pointers are followed four steps, and the links are carried
+    over to where their ends point; those within one node go. So the links shrink in each round, which is written to the
+    shared folder, until none is left.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "omh-links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "omh-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("m"))
-        hooked = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = hooked.join(roots, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component"))
-        new = stored(jumped, "omh-labels")
-        moved = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "omh-links")
+    labels = None
+    while labels is None or edges.limit(1).count():
+        ends = edges.select("a", "b").union(edges.select("b", "a"))
+        points = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+        for _ in range(2):
+            points = relabelled(points, points)
+        points = stored(points, "omh-points")
+        labels = points if labels is None else relabelled(labels, points)
+        one, other = (points.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+        moved = edges.join(one, "a").join(other, "b").where("ca <> cb")
+        edges = stored(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "omh-links")
+    return stored(labels, "omh-labels")
+
+
+def relabelled(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, component): ``labels`` with the components that are nodes of ``names`` replaced by theirs."""
+    new = names.select(F.col("node").alias("component"), F.col("component").alias("renamed"))
+    return labels.join(new, "component", "left").select("node", F.coalesce("renamed", "component").alias("component"))
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components once ``links`` (a, b) join those of ``labels``."""
+    one, other = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+    between_components = links.select("a", "b").join(one, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    names = components(between_components)
+    return stored(relabelled(labels, names).union(names.join(labels, "node", "left_anti").select("node", "component")), "omh-labels")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, ell: int = 5, sketches: int = 32, threshold: float = 0.8, seed: int = 23) -> DataFrame:
@@ -203,23 +224,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
     order = F.xxhash64("node", "value")
-    heads = entries.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "node", "n")).alias("head")).where("size > 1")
-    members = stored(entries.join(heads, "value").select("value", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "omh-buckets")
+    lowest = F.min(F.struct("node", "n")).alias("lowest")  # names are hashes, so this is any node
+    heads = entries.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "node", "n")).alias("head"), lowest).where("size > 1")
+    members = stored(entries.join(heads, "value").select("value", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), "lowest"), "omh-buckets")
     texts = node_texts(docs, members, text_col=text_col)
-    fits = F.least("n", "head_n") >= threshold * F.greatest("n", "head_n")
-    pairs = members.where((F.col("node") != F.col("head")) & fits).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    links = stored(verified(texts, pairs, k=k, threshold=threshold), "omh-verified")
-    labels = components(links)
+
+    def fits(other: str) -> Column:
+        return F.least("n", other) >= threshold * F.greatest("n", other)
+
+    first = members.where((F.col("node") != F.col("lowest.node")) & fits("lowest.n")).groupBy(F.col("node").alias("a")).agg(F.min("lowest.node").alias("b"))
+    labels = components(verified(texts, first, k=k, threshold=threshold))
+    pairs = members.where((F.col("node") != F.col("head")) & fits("head_n")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    still = stored(between(pairs, labels).withColumn("same", F.lit(0)), "omh-open")
+    for width in (1, None):
+        some = likeliest(still, width) if width else still
+        labels = with_links(labels, stored(verified(texts, some.select("a", "b"), k=k, threshold=threshold), "omh-verified"))
+        if width:
+            still = stored(between(still.join(some, ["a", "b"], "left_anti"), labels, "same"), "omh-open")
 
     rest = stored(unsettled(members, labels, nodes, texts, k, threshold), "omh-rest")
-    if rest.limit(1).count():
-        more = verified(texts, rest, k=k, threshold=threshold)
-        labels = components(stored(links.union(more), "omh-all-links"))
+    # the likeliest partners first: once one of them links two components, what else lies between them needs no look
+    for width in (1, 8, None):
+        if not rest.limit(1).count():
+            break
+        some = likeliest(rest, width) if width else rest
+        labels = with_links(labels, stored(verified(texts, unordered(some), k=k, threshold=threshold), "omh-more"))
+        if width:
+            rest = stored(between(rest.join(some, ["a", "b"], "left_anti"), labels, "same"), "omh-rest")
     grouped = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return grouped.join(names, "component", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def likeliest(pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b): for each a, in each of ``width`` hash classes of b, the pair whose sketches agree most."""
+    best = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(width)).alias("part")).agg(F.max(F.struct("same", "b"))["b"].alias("b"))
+    return best.select("a", "b")
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def between(pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) whose nodes aren't in one component."""
+    one, other = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+    return pairs.join(one, "a", "left").join(other, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b", *columns)
+
+
 def own_items(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, own): how many items of each of ``nodes`` no other of them has."""
 
@@ -234,12 +286,29 @@ def own_items(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return single.groupBy("node").agg(F.count("*").alias("own"))
 
 
+def histograms(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, marks): how many items of each of ``nodes`` fall in each of ``MARKS`` hash classes, a byte each; 255 stands for that or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [np.minimum(255, np.bincount(items(word_hashes(t.as_py()), k) % np.uint64(MARKS), minlength=MARKS)).astype(np.uint8).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
+
+    return texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(count, "node BINARY, marks BINARY")
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An upper bound of the items that each row of marks in ``x`` shares with that in ``y``; very large where a class is full."""
+    least = np.minimum(x, y)
+    return least.sum(1, dtype=np.int64) + (least == 255).any(1) * (1 << 40)
+
+
 def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b): pairs from buckets with several components, one of them outside the bucket's main one, that agree in two or more sketches.
+    """(a, b, same): pairs from buckets with several components, a outside the bucket's main one, that agree in two or more sketches (``same``).
 
     A bucket is dealt into blocks of nodes by hash; each group of the comparison holds one block of probes and one of targets.
     A pair is given only in the first sketch in which its nodes agree, and only if the items that its nodes share with any node
-    of these buckets could be enough for the threshold.
+    of these buckets, and those that their item histograms let them share, could be enough for the threshold.
     """
     # a node without a link is a component of its own
     own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -247,10 +316,10 @@ def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Da
     main = share.groupBy("value").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"))
     mixed = main.where("parts > 1").select("value", "main", F.ceil(F.col("all") / BLOCK).alias("tb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("pb"))
     rows = stored(own.select("value", "node", "n", "component").join(mixed, "value"), "omh-mixed")
-    facts = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "sketch").join(own_items(texts, rows, k), "node", "left")
-    rows = rows.join(facts.select("node", "sketch", (F.coalesce("own", F.lit(0))).alias("own")), "node").withColumn("shared", F.col("n") - F.col("own"))
+    facts = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "sketch").join(own_items(texts, rows, k), "node", "left").join(histograms(texts, rows, k), "node")
+    rows = rows.join(facts.select("node", "sketch", "marks", (F.coalesce("own", F.lit(0))).alias("own")), "node").withColumn("shared", F.col("n") - F.col("own"))
     spread = F.abs(F.xxhash64("node", F.lit(41)))
-    columns = ["value", "node", "n", "component", "sketch", "shared"]
+    columns = ["value", "node", "n", "component", "sketch", "marks", "shared"]
     # what can't reach the threshold with anybody is no probe and no target
     able = rows.where(F.col("shared") >= threshold * F.col("n") - 1e-6)
     targets = able.select(*columns, F.lit(False).alias("probe"), (spread % F.col("tb")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
@@ -260,7 +329,7 @@ def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Da
         probe = group[group["probe"]]
         target = group[~group["probe"]]
         if not len(probe) or not len(target):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": [], "same": []})
         s, t = np.stack(probe["sketch"]), np.stack(target["sketch"])
         band = int(np.flatnonzero(s[0] == group["value"].iloc[0])[0])
         n, m = probe["n"].to_numpy()[:, None], target["n"].to_numpy()[None, :]
@@ -269,7 +338,11 @@ def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Da
         good = (equal.sum(2) > 1) & (equal.argmax(2) == band) & (most >= threshold * (n + m - most) - 1e-6)
         good &= probe["component"].to_numpy()[:, None] != target["component"].to_numpy()[None, :]
         i, j = np.nonzero(good)
-        return pd.DataFrame({"a": probe["node"].to_numpy()[i], "b": target["node"].to_numpy()[j]})
-
-    found = targets.unionByName(probes).groupBy("value", "t", "p").applyInPandas(agree, "a BINARY, b BINARY")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x, y = (np.frombuffer(b"".join(side["marks"]), np.uint8).reshape(-1, MARKS) for side in (probe, target))
+        bound = most_shared(x[i], y[j])
+        can = bound >= threshold * (n[i, 0] + m[0, j] - bound) - 1e-6
+        i, j = i[can], j[can]
+        return pd.DataFrame({"a": probe["node"].to_numpy()[i], "b": target["node"].to_numpy()[j], "same": equal.sum(2)[i, j]})
+
+    found = targets.unionByName(probes).groupBy("value", "t", "p").applyInPandas(agree, "a BINARY, b BINARY, same LONG")
+    return found.distinct()

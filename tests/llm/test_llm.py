@@ -426,3 +426,12 @@ def test_long_texts_are_scored_in_stretches(monkeypatch):
     whole = masked_lm.log_likelihood(model, w)
     monkeypatch.setattr(masked_lm, "STRETCH", 64)
     assert masked_lm.log_likelihood(model, w) == pytest.approx(whole, rel=1e-6)
+
+
+def test_histograms_bound_what_two_texts_share():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 200, 60_000):  # the last fills classes
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.union1d(a[: len(a) // 2], rng.integers(0, 1 << 62, n).astype(np.uint64))
+        x, y = (np.minimum(255, np.bincount(h % np.uint64(order_minhash.MARKS), minlength=order_minhash.MARKS)).astype(np.uint8)[None, :] for h in (a, b))
+        assert order_minhash.most_shared(x, y)[0] >= len(np.intersect1d(a, b))
