@@ -19,31 +19,32 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE_SCHEMA = "doc_id {id}, pack_group LONG, start LONG, length LONG, ids BINARY, doc_tokens LONG"
 PACKED = "doc_id {id}, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG, sequence_tokens LONG, padded_tokens LONG"
-#: The byte-level pre-tokenisation, in the form that the regex module reads (fixed value).
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A blank before white space or the end.
+ODD = r" ([\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|$)"
 #: Entries of a cache; when it is full half of it goes, so memory is bounded.
 CACHE = 700_000
+#: Bytes of text that are split and looked up at a time (a longer text goes by itself).
+BATCH_BYTES = 4 << 20
 
 
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own, as little-endian 32-bit bytes.
 
     With byte-level pre-tokenisation a token never reaches across a blank that a non-blank follows, so a text is the words
-    between its blanks. Words and pre-tokens are looked up in caches; the tokenizer encodes, in one batch, those it hasn't seen.
+    between its blanks. Words are looked up in a cache; the tokenizer encodes, in one text, those it hasn't seen.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
         import json
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -52,50 +53,61 @@ class Encoder:
             said = json.load(f)
         kind = said.get("pre_tokenizer") or {}
         self.plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not said.get("normalizer")
-        self.words: dict[str, bytes] = {}  # without the blank before them
-        self.pieces: dict[str, bytes] = {}
-        self.find, self.odd = regex.compile(PRETOKENS).findall, re.compile(r" (?:\s|$)").search
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.words: dict[str, bytes] = {"": b""}  # without the blank before them
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # the byte-level alphabet has one character a byte
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text. Texts with runs of white space at a blank go to the tokenizer as they are."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if not self.plain:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        # runs of white space join across blanks: such texts are cut by the expression as a whole
-        split = [(self.find(t), []) if self.odd(t) else (self.find(w[0]), w[1:]) for t in texts for w in (t.split(" "),)]
-        # the entries that came first are the most frequent ones, so they stay
-        for name in ("words", "pieces"):
-            if len(cache := getattr(self, name)) > CACHE:
-                setattr(self, name, dict(islice(cache.items(), CACHE // 2)))
-        new = {w: self.cut(w) for w in set().union(*(w for _, w in split)).difference(self.words)}
-        self.learn(list(set().union(*new.values(), *(p for p, _ in split)).difference(self.pieces)))
-        piece = self.pieces.__getitem__
-        once = {w: b"".join(map(piece, p)) for w, p in new.items()}
-        self.words.update(once)
-        word = self.words.__getitem__
-        out = [b"".join([*map(piece, p), *map(word, w)]) for p, w in split]
-        for w in once:  # words across lines hardly come again
+            return self.direct(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, ODD)
+        even = iter(self.by_words(texts.filter(pc.invert(odd))))
+        whole = iter(self.direct(texts.filter(odd).to_pylist()))
+        return [next(whole if x else even) for x in odd.to_pylist()]
+
+    def by_words(self, texts: pa.Array) -> list[bytes]:
+        """Arrow splits the texts and numbers their distinct words; each of these is looked up once."""
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        known, codes, ends = coded.dictionary.to_pylist(), coded.indices, lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        if len(self.words) > CACHE:  # the entries that came first are the most frequent ones, so they stay
+            self.words = dict(islice(self.words.items(), CACHE // 2))
+        new = [w for w in known if w not in self.words]
+        self.learn(new)
+        heads = codes.take(pa.array(ends[:-1])).to_pylist()
+        opening = dict(zip(set(heads), self.direct([known[k] for k in set(heads)]), strict=True))
+        # the bytes of all words in a row, and where each text's second word begins and its last ends
+        ids = pa.array(map(self.words.__getitem__, known), pa.large_binary(), size=len(known)).take(codes)
+        data, at = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        out = [opening[k] + data[x:y] for k, x, y in zip(heads, at[ends[:-1] + 1].tolist(), at[ends[1:]].tolist(), strict=True)]
+        for w in new:  # words across lines hardly come again
             if "\n" in w:
                 del self.words[w]
         return out
 
-    def cut(self, word: str) -> list[str]:
-        """The pre-tokens of a blank and a word."""
-        if word.isalpha():
-            return [" " + word]
-        if word[-1:] in (",", ".") and word[:-1].isalpha():
-            return [" " + word[:-1], word[-1]]
-        return self.find(" " + word)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Add the ids of pre-tokens. Those of a blank and letters are encoded in one text, which falls into just them."""
-        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        if plain:
-            e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
-            ids, owners = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-            ends = [0, *(4 * (np.flatnonzero(np.diff(owners)) + 1)).tolist(), len(ids)]
-            if len(ends) == len(plain) + 1:
-                self.pieces.update(zip(plain, (ids[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-        rest = [p for p in pieces if p not in self.pieces]
-        self.pieces.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of words, encoded in one text and cut where the bytes of each word end."""
+        if not new:
+            return
+        text = " " + " ".join(new)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        past = np.cumsum(self.sizes[ids])
+        sizes = pc.binary_length(pa.array(new, pa.large_string()).cast(pa.large_binary())).to_numpy().astype(np.int64)
+        wanted = np.cumsum(sizes + 1)
+        last = np.searchsorted(past, wanted)
+        if last[-1] == len(ids) - 1 and (past[last] == wanted).all():
+            raw, ends = ids.tobytes(), (4 * (last + 1)).tolist()
+            self.words.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        else:
+            self.words.update(zip(new, self.direct([" " + w for w in new]), strict=True))
 
 
 @lru_cache(1)
@@ -116,11 +128,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         encode = encoder(tokenizer_path).encode
 
         def cut(b: pa.RecordBatch) -> Iterator[tuple]:
-            for at in range(0, b.num_rows, 128):
-                some = b.slice(at, 128)
-                yield from pieces_of(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist())
+            turn = np.cumsum(pc.binary_length(b.column(2)).to_numpy().astype(np.int64)) // BATCH_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for at, past in zip(edges, edges[1:], strict=False):
+                some = b.slice(at, past - at)
+                yield from pieces_of(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2))
 
-        def pieces_of(docs: list, groups: list, texts: list[str]) -> Iterator[tuple]:
+        def pieces_of(docs: list, groups: list, texts: pa.Array) -> Iterator[tuple]:
             for doc, g, ids in zip(docs, groups, encode(texts), strict=True):
                 ids += end
                 for at in range(0, len(ids), step):
