@@ -9,12 +9,17 @@ Similarity is that of an alignment: the longest common subsequence of the labell
 documents, ``lcs / (n + m - lcs)``. Alignments that reach the threshold stay in a band of ``(1 - t) / (1 + t) * (n + m)``
 places around the diagonal; matches outside it are left out.
 
+Short texts: the ``ell`` items of a sketch are most or all of a text with few items, so near copies seldom or never agree.
+Texts with at most ``SHORT`` items, and those long enough to be near them, are candidates by a set join as well: ordered from the
+rarest item on, texts that reach the threshold share one of their first ``n - ceil(t * n) + 1`` items, so each of these is one more
+bucket. No pair with a text of at most ``SHORT`` items is missed.
+
 Plan: equal word sequences become one node; each node is first verified against one other, the lowest-hashed node of its
 buckets (the nodes of one sketch value), so most of a group of copies is linked by one comparison a node. Then the nodes of
 each bucket are verified against one of them, a different one in each sketch, unless both are in one class already, which
 no further link would change. Connected components follow by label propagation; where a bucket still has several components,
 its nodes outside the bucket's main component are compared with all others of the bucket, in blocks of both, by their
-sketches, and pairs that agree in two or more sketches are verified as well: first those that agree most, then all whose
+sketches, and pairs that could share enough items are verified as well: first those that agree most, then all whose
 nodes are still in different components. So a bucket of m copies costs about m verifications, no bucket is gathered in one
 task, and nothing is capped.
 
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import mix, stored, word_hashes
@@ -42,6 +47,8 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 CHUNK, BLOCK = 1 << 15, 64
 #: Hash classes of a node's item histogram.
 MARKS = 128
+#: Texts of at most so many items are compared by a set join besides their sketches.
+SHORT = 50
 
 
 def items(w: np.ndarray, k: int) -> np.ndarray:
@@ -121,8 +128,8 @@ def node_key(text: bytes | None, w: np.ndarray) -> bytes | None:
     return hashlib.md5(w.tobytes() if len(w) else b"\x00" + text, usedforsecurity=False).digest()
 
 
-def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int, ell: int, sketches: int, seed: int) -> DataFrame:
-    """(doc_id, node, n, sketch): node names equal word sequences; n items; sketch is empty for texts without words."""
+def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int, ell: int, sketches: int, seed: int, few: int = 0) -> DataFrame:
+    """(doc_id, node, n, sketch, items): node names equal word sequences; n items; sketch is empty for texts without words, items for texts of more than ``few``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +143,30 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int, ell: int, s
                 key = node_key(t, w)
                 if key is None or key not in seen:
                     h = items(w, k)
-                    one = len(h), sketch(h, seeds, ell) if len(h) else np.zeros(0, np.int64)
+                    one = len(h), sketch(h, seeds, ell) if len(h) else np.zeros(0, np.int64), h.view(np.int64) if len(h) <= few else np.zeros(0, np.int64)
                     if len(seen) > 5000:
                         seen.clear()
                     seen[key] = one
                 rows.append((key, *seen[key]))
-            flat = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)])
-            ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "node", "n", "sketch"])
+            lists = []
+            for j in (2, 3):
+                flat = np.concatenate([np.zeros(0, np.int64), *(r[j] for r in rows)])
+                ends = np.cumsum([0, *(len(r[j]) for r in rows)]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), *lists], names=["doc_id", "node", "n", "sketch", "items"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, node BINARY, n LONG, sketch ARRAY<LONG>")
+    return rows.mapInArrow(run, f"doc_id {kind}, node BINARY, n LONG, sketch ARRAY<LONG>, items ARRAY<LONG>")
+
+
+def prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, value): the first items of each node (node, n, items), the rarest first, that others have as well; two nodes that reach the threshold share one."""
+    rows = nodes.select("node", "n", F.explode("items").alias("item"))
+    counts = rows.groupBy("item").agg(F.count("*").alias("c"))
+    first = Window.partitionBy("node").orderBy("c", "item")
+    ranked = rows.join(counts, "item").withColumn("rank", F.row_number().over(first))
+    # the smaller of two sets must share at least threshold times the items of the larger one
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("c") > 1)).select("node", "n", F.xxhash64("item", F.lit(7)).alias("value"))
 
 
 def node_texts(docs: DataFrame, needed: DataFrame, *, text_col: str) -> DataFrame:
@@ -220,9 +240,12 @@ def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, ell: int = 5, sketches: int = 32, threshold: float = 0.8, seed: int = 23) -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the smallest id among the documents it is linked with, directly or not."""
-    known = stored(sketched(docs, id_col=id_col, text_col=text_col, k=k, ell=ell, sketches=sketches, seed=seed), "omh-sketches")
+    few = int(SHORT / threshold + 1e-9)
+    known = stored(sketched(docs, id_col=id_col, text_col=text_col, k=k, ell=ell, sketches=sketches, seed=seed, few=few), "omh-sketches")
     nodes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
+    # a text so short that one more item is too many has no near copy
+    short = known.where((F.col("n") >= threshold * (F.col("n") + 1) - 1e-9) & (F.col("n") <= few)).groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+    entries = nodes.select("node", "n", F.explode("sketch").alias("value")).unionByName(stored(prefixes(short, threshold), "omh-prefixes"))
     order = F.xxhash64("node", "value")
     lowest = F.min(F.struct("node", "n")).alias("lowest")  # names are hashes, so this is any node
     heads = entries.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "node", "n")).alias("head"), lowest).where("size > 1")
@@ -304,10 +327,10 @@ def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, same): pairs from buckets with several components, a outside the bucket's main one, that agree in two or more sketches (``same``).
+    """(a, b, same): pairs from buckets with several components, a outside the bucket's main one; ``same`` is in how many sketches they agree.
 
     A bucket is dealt into blocks of nodes by hash; each group of the comparison holds one block of probes and one of targets.
-    A pair is given only in the first sketch in which its nodes agree, and only if the items that its nodes share with any node
+    A pair is given only in the first sketch in which its nodes agree, or if there is none in the buckets of items, and only if the items that its nodes share with any node
     of these buckets, and those that their item histograms let them share, could be enough for the threshold.
     """
     # a node without a link is a component of its own
@@ -331,11 +354,11 @@ def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Da
         if not len(probe) or not len(target):
             return pd.DataFrame({"a": [], "b": [], "same": []})
         s, t = np.stack(probe["sketch"]), np.stack(target["sketch"])
-        band = int(np.flatnonzero(s[0] == group["value"].iloc[0])[0])
+        band = np.flatnonzero(s[0] == group["value"].iloc[0])  # none in the bucket of an item
         n, m = probe["n"].to_numpy()[:, None], target["n"].to_numpy()[None, :]
         most = np.minimum(probe["shared"].to_numpy()[:, None], target["shared"].to_numpy()[None, :])
         equal = s[:, None, :] == t[None, :, :]
-        good = (equal.sum(2) > 1) & (equal.argmax(2) == band) & (most >= threshold * (n + m - most) - 1e-6)
+        good = (equal.any(2) & (equal.argmax(2) == band[0]) if len(band) else ~equal.any(2)) & (most >= threshold * (n + m - most) - 1e-6)
         good &= probe["component"].to_numpy()[:, None] != target["component"].to_numpy()[None, :]
         i, j = np.nonzero(good)
         x, y = (np.frombuffer(b"".join(side["marks"]), np.uint8).reshape(-1, MARKS) for side in (probe, target))

@@ -303,6 +303,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == classes_by_force(texts)
 
 
+def test_short_near_copies_are_found(spark):
+    """Pairs at the threshold whose sketches hold nearly all items of a text, or all."""
+    rng = random.Random(17)
+    v = [f"w{i}" for i in range(2000)]
+    texts = []
+    for n in [8] * 10 + list(range(8, 70)):
+        base = words(rng, n, v)
+        items = n - 4
+        more = words(rng, items // 4, v)  # items / (items + items // 4) is at least 0.8
+        texts += [base, f"{more} {base}" if rng.random() < 0.5 else f"{base} {more}"]
+    hot = words(rng, 8, v)
+    texts += [f"{hot} {x}" for x in v[:150]]  # all near the text without the last word, and only by it
+    texts.append(hot)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_force(texts)
+    assert all(got[i] == got[i + 1] for i in range(0, 144, 2)) and got[294] == got[144]
+
+
 def test_near_duplicates_odd_rows(spark):
     got = sorted(((r["doc_id"], r["class_id"]) for r in order_minhash.near_duplicates(table(spark, ODD)).collect()), key=str)
     assert len(got) == len(ODD) and Counter(got)[(5, 5)] == 2 and (6, 5) in got and (0, 0) in got and (None, None) in got
