@@ -438,6 +438,13 @@ def test_masked_lm_learns(spark):
     assert masked_lm.score(known.limit(0), masked_lm.fit(known.limit(0))).count() == 0
 
 
+def test_every_place_of_copies_is_learned(spark):
+    text = " ".join(f"w{i}" for i in range(24))
+    known = _common.stored(masked_lm.with_ids(table(spark, [text] * 2000)).repartition(2), "lm-copies")
+    scored = masked_lm.score(known.limit(1), masked_lm.fit(known)).first()["lm"]
+    assert scored["mean_log_likelihood"] > -1
+
+
 def test_long_texts_are_scored_in_stretches(monkeypatch):
     model = masked_lm.Model(masked_lm.vocabulary(np.arange(masked_lm.WORDS, dtype=float)), masked_lm.random_start(0))
     w = masked_lm.word_ids(b" ".join(b"w%d" % (i % 77) for i in range(1000)))
