@@ -119,5 +119,5 @@ def picked_claims(metrics: DataFrame, claims: DataFrame, entity: str, most: int
     """The claims that a note about ``entity`` cites: the first of each edge from the strongest on, then the second of each, up to ``most``."""
     mine = metrics.where((F.col("src") == entity) | (F.col("dst") == entity)).select(*EDGE, "weight")
     w = Window.partitionBy(*EDGE).orderBy("ch", "claim_id")
-    facts = claims.join(F.broadcast(mine.limit(100_000)), EDGE).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_edge)
+    facts = claims.where((F.col("src") == entity) | (F.col("dst") == entity)).join(mine, EDGE).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_edge)
     return facts.orderBy("turn", F.desc("weight"), *EDGE, "claim_id").limit(most).select("claim_id", "turn", *EDGE, "weight")

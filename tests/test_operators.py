@@ -133,6 +133,13 @@ def test_windows(spark):
     assert sorted(found(text.windows(docs, limit=8))) == [(1, 0, 0, 2), (1, 1, 2, 3), (1, 2, 3, 4), (2, 0, 0, 1)]
 
 
+def test_picked_claims_reach_the_strongest_of_many_edges(spark):
+    n = 150_000
+    rows = spark.range(n).select(F.format_string("c%07d", "id").alias("claim_id"), F.lit("a").alias("src"), F.lit("KNOWS").alias("predicate"), F.format_string("e%07d", "id").alias("dst"), F.lit(1).alias("ch"), (F.col("id") / n).alias("weight"))
+    got = edges.picked_claims(rows.drop("claim_id", "ch"), rows.drop("weight"), "a")
+    assert [r["claim_id"] for r in got.collect()] == [f"c{n - 1 - i:07}" for i in range(48)]
+
+
 def test_related_score(spark):
     e = spark.createDataFrame([("a", "z", 1.0), ("b", "z", 1.0)], "src STRING, dst STRING, weight DOUBLE")
     assert found(graph.related(e, "a")) == [("b", round(1 / math.log(3), 4), 1)]
