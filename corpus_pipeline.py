@@ -33,12 +33,18 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class, once; documents without id stay."""
-    classes = order_minhash.near_duplicates(docs.select("doc_id", "text"))
-    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    same = free_name(docs, "text_hash")
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns).withColumn(same, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")).otherwise(F.sha2(F.col("text"), 256)))
-    return kept.dropDuplicates(["doc_id", same]).drop(same)
+    """One document of each near-duplicate class: the one with the smallest id, of equal ids the one with the smaller digest.
+
+    A row is told from others by id and text, so rows that share an id but not a text are judged each by itself; of rows equal
+    in both one stays. A document without id stays only where no other of its class has one. Any row can have any length.
+    """
+    row, text = free_name(docs, "row_key"), F.col("text")
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.md5(text).alias("digest"))
+    keyed = docs.withColumn(row, key)
+    classes = order_minhash.near_duplicates(keyed.select(row, "text"), id_col=row)
+    gone = classes.where("doc_id.absent <> class_id.absent OR NOT doc_id.id <=> class_id.id OR NOT doc_id.digest <=> class_id.digest").select("doc_id.id", "doc_id.digest").distinct()
+    kept = keyed.join(gone, F.col(row)["id"].eqNullSafe(gone["id"]) & F.col(row)["digest"].eqNullSafe(gone["digest"]), "left_anti")
+    return kept.dropDuplicates([row]).select(*docs.columns)
 
 
 def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +18,12 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and the master is local (tests on one machine) a temporary folder is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -32,6 +36,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of a batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes, not only the rows, of each batch that goes to Python, unless the session bounds them further down.
+
+    A batch of 10,000 long texts would be gigabytes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, None)
+    if said is None or not said.isdigit() or int(said) > BATCH_BYTES or int(said) < 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return to the system what a task's end has freed: the worker process lives on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores in front until no column of ``df`` has that name (compared without case)."""
     taken = {c.lower() for c in df.columns}
@@ -48,20 +76,24 @@ def arrow_type(ddl: str) -> pa.DataType:
 
 
 def append_column(df: DataFrame, inputs: list[str], name: str, dtype: T.DataType | str, make: Callable[[], Callable[..., pa.Array]]) -> DataFrame:
-    """Pass all columns through and append ``name``; one Arrow pass, no shuffle.
+    """Pass all columns through and append ``name``, which replaces a column of that name (compared without case); one Arrow pass, no shuffle.
 
     ``dtype`` is a type, or the DDL of a struct. ``make()`` runs once in each task and returns a function from the input arrays of a batch to the new array.
     """
     dtype = T.StructType.fromDDL(dtype) if isinstance(dtype, str) else dtype
-    schema = T.StructType([*df.schema.fields, T.StructField(name, dtype)])
+    kept = [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(name, dtype)])
     at = [df.columns.index(c) for c in inputs]
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
             if b.num_rows:
                 new = fn(*(b.column(i) for i in at))
-                yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), new], names=[*(b.schema.names[i] for i in kept), name])
+        del fn
+        give_back()
 
     return df.mapInArrow(run, schema)
 

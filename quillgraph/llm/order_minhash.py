@@ -1,31 +1,32 @@
 """MinHash near-dedup by Order MinHash: sketches that keep text order, candidates verified by banded alignment.
 
-A document's items are its runs of ``k`` words, labelled with their occurrence (so each item is unique in its document). A
-sketch takes the ``ell`` items with the smallest hashes of one random order and hashes them in text order: two documents agree
-in it if they share these items and their order, which is likely when their edit similarity is high. ``sketches`` of them are
-taken.
-
-Similarity is that of an alignment: the longest common subsequence of the labelled items, over all items of the two
-documents, ``lcs / (n + m - lcs)``. Alignments that reach the threshold stay in a band of ``(1 - t) / (1 + t) * (n + m)``
-places around the diagonal; matches outside it are left out.
-
-Short texts: the ``ell`` items of a sketch are most or all of a text with few items, so near copies seldom or never agree.
-Texts with at most ``SHORT`` items, and those long enough to be near them, are candidates by a set join as well: ordered from the
-rarest item on, texts that reach the threshold share one of their first ``n - ceil(t * n) + 1`` items, so each of these is one more
-bucket. No pair with a text of at most ``SHORT`` items is missed.
-
-Plan: equal word sequences become one node; each node is first verified against one other, the lowest-hashed node of its
-buckets (the nodes of one sketch value), so most of a group of copies is linked by one comparison a node. Then the nodes of
-each bucket are verified against one of them, a different one in each sketch, unless both are in one class already, which
-no further link would change. Connected components follow by label propagation; where a bucket still has several components,
-its nodes outside the bucket's main component are compared with all others of the bucket, in blocks of both, by their
-sketches, and pairs that could share enough items are verified as well: first those that agree most, then all whose
-nodes are still in different components. So a bucket of m copies costs about m verifications, no bucket is gathered in one
-task, and nothing is capped.
-
-Edge cases: a null text is a class of its own, texts without a word are one only with equal texts; a text with fewer than
-``k`` words is one item; repeated rows have equal classes; a class is named by its smallest id, ties don't arise; an empty table
-gives no rows; extra columns are ignored.
+A document's items are its words (``k`` = 1) or runs of ``k`` words, labelled with their occurrence, so each item is unique in
+its document. A sketch takes the ``ell`` items with the smallest hashes of one random order and hashes them in text order: two
+documents agree in it if they share these items and their order, which follows their edit similarity.
+
+Similarity is that of an alignment of the words: the longest common subsequence over all words of the two texts,
+``lcs / (n + m - lcs)``, at least ``threshold``. So a text with one word in ten replaced is a near copy (9 / 11), which
+runs of five words would put at about 0.4. Words are compared by 32-bit hashes. The alignment is banded: in one that reaches
+the threshold no word moves further than ``max(n, m) - lcs`` places, so matches beyond that aren't looked at.
+
+Three kinds of sketch share the work, by the length of the texts; a pair has one of them in common at any length:
+
+* from ``least_long`` words on, ``sketches`` sketches of ``ell`` words (a pair at 0.8 agrees in one with probability 0.17);
+* ``12`` to ``SHORT`` words, ``short_sketches`` of ``short_ell`` words (0.4 and more), since ``ell`` words are most of such a text;
+* up to ``TINY`` words, all that is left of the text once up to a fifth of its words is dropped: exact.
+
+Plan: equal word sequences become one node. Each node is verified against one other, the lowest-hashed node of its buckets
+(the nodes of one sketch value), so most of a group of copies is linked by one comparison a node; then the nodes of each bucket
+against one of them, a different one in each bucket, unless both are in one class already, which no further link would
+change. Where a bucket still has several components, the nodes outside its main one are compared with all others of
+the bucket, in blocks of both: a histogram of words bounds what two texts can share, and what passes it is aligned. Connected
+components are found by contraction. No bucket is gathered in one task, and nothing is capped. What the sketches don't see
+(a pair that agrees in none of them) isn't linked: by the figures above under one pair in 200 at 0.8, far fewer above it.
+
+Edge cases: a null text is a class of its own, texts without a word are one only with equal texts; repeated rows have equal
+classes; a class is named by its smallest id, ties don't arise; rows without id are in classes like any other, which are
+named null if no row has an id; very long texts are read whole and aligned in blocks of rows; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,22 +34,23 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix, stored, word_hashes
+from ._common import bounded_batches, give_back, mix, stored, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Items hashed at a time, and nodes a block of the comparison of sketches.
-CHUNK, BLOCK = 1 << 15, 64
-#: Hash classes of a node's item histogram.
+#: Items hashed at a time, nodes a block of the comparison within buckets, and rows a block of an alignment.
+CHUNK, BLOCK, ROWS = 1 << 15, 256, 512
+#: Hash classes of a node's word histogram.
 MARKS = 128
-#: Texts of at most so many items are compared by a set join besides their sketches.
-SHORT = 50
+#: Most words of short and of tiny texts.
+SHORT, TINY = 64, 14
 
 
 def items(w: np.ndarray, k: int) -> np.ndarray:
@@ -60,10 +62,9 @@ def items(w: np.ndarray, k: int) -> np.ndarray:
     for j in range(min(k, len(w))):
         run = run * _GOLD + w[j : j + n]
     run = mix(run)
-    ordered = np.sort(run)
-    if (ordered[1:] == ordered[:-1]).any():  # label the second, third ... occurrence
-        order = np.argsort(run, kind="stable")
-        new = np.concatenate([[True], run[order[1:]] != run[order[:-1]]])
+    order = np.argsort(run, kind="stable")
+    new = np.concatenate([[True], run[order[1:]] != run[order[:-1]]])
+    if not new.all():  # label the second, third ... occurrence
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         label = np.zeros(n, np.uint64)
         label[order] = (np.arange(n) - first).astype(np.uint64)
@@ -75,12 +76,12 @@ def sketch(h: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
     """One hash for each (odd) seed: of the ell items that come first in the seed's order, in text order."""
     if len(h) <= ell:
         at = np.tile(np.arange(len(h)), (len(seeds), 1))
+    elif len(h) <= CHUNK:
+        v = h * seeds[:, None]
+        at = np.flatnonzero(v <= np.partition(v, ell - 1, axis=1)[:, ell - 1 : ell]).reshape(len(seeds), ell) % len(h)  # items are unique, so no ties
     else:
-        parts = []
-        for start in range(0, len(h), CHUNK):
-            part = np.arange(start, min(len(h), start + CHUNK))
-            parts.append(_first(h, seeds, ell, np.tile(part, (len(seeds), 1)) if len(h) > CHUNK else part[None, :]))
-        at = parts[0] if len(parts) == 1 else _first(h, seeds, ell, np.hstack(parts))
+        parts = [_first(h, seeds, ell, np.tile(np.arange(start, min(len(h), start + CHUNK)), (len(seeds), 1))) for start in range(0, len(h), CHUNK)]
+        at = _first(h, seeds, ell, np.hstack(parts))
     out = seeds.copy()
     for j in range(at.shape[1]):
         out = out * _GOLD + h[at[:, j]]
@@ -88,8 +89,7 @@ def sketch(h: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
 
 
 def _first(h: np.ndarray, seeds: np.ndarray, ell: int, at: np.ndarray) -> np.ndarray:
-    """The places, rising, of the ell items among ``at`` that come first in each seed's order (items are unique, so no ties)."""
-    at = np.broadcast_to(at, (len(seeds), at.shape[1]))
+    """The places, rising, of the ell items among ``at`` (a row a seed) that come first in each seed's order."""
     if at.shape[1] <= ell:
         return at
     v = h[at] * seeds[:, None]
@@ -97,28 +97,115 @@ def _first(h: np.ndarray, seeds: np.ndarray, ell: int, at: np.ndarray) -> np.nda
     return at[v <= last].reshape(len(seeds), ell)
 
 
+def leftovers(w: np.ndarray, threshold: float) -> np.ndarray:
+    """Hashes of what is left of the words once up to ``1 - threshold`` of them are dropped; texts that reach the threshold share one."""
+    n = len(w)
+    kept = [at for drop in range(int((1 - threshold) * n + 1e-9) + 1) for at in combinations(range(n), n - drop)]
+    out = []
+    for size in sorted({len(at) for at in kept}):
+        x = np.full(sum(len(at) == size for at in kept), size, np.uint64)
+        for column in w[np.array([at for at in kept if len(at) == size])].T:
+            x = x * _GOLD + column
+        out.append(mix(x))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+class Sketches:
+    """The bucket values of a text's word hashes: one array of all its sketches."""
+
+    def __init__(self, k: int, ell: int, sketches: int, short_ell: int, short_sketches: int, threshold: float, seed: int) -> None:
+        seeds = np.random.default_rng(seed).integers(1, 1 << 63, sketches + short_sketches).astype(np.uint64) | np.uint64(1)
+        self.k, self.ell, self.short_ell, self.threshold = k, ell, short_ell, threshold
+        self.seeds, self.short_seeds = seeds[:sketches], seeds[sketches:]
+        # a text with one word more than a short (tiny) one is near no text below this
+        self.least_long, self.least_short = (int(np.ceil(threshold * (x + 1) - 1e-9)) for x in (SHORT, TINY))
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        n, h, found = len(w), items(w, self.k), []
+        if n >= self.least_long:
+            found.append(sketch(h, self.seeds, self.ell))
+        if self.least_short <= n <= SHORT:
+            found.append(sketch(h, self.short_seeds, self.short_ell))
+        if 0 < n <= TINY:
+            found.append(leftovers(w, self.threshold))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def marks(w: np.ndarray) -> bytes:
+    """How many words fall in each of ``MARKS`` hash classes, a byte each; 255 stands for that or more."""
+    return np.minimum(255, np.bincount((w >> np.uint64(40)).astype(np.int64) % MARKS, minlength=MARKS)).astype(np.uint8).tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An upper bound of the words that each row of marks in ``x`` shares with that in ``y``; very large where a class is full."""
+    least = np.minimum(x, y)
+    return least.sum(-1, dtype=np.int64) + (least == 255).any(-1) * (1 << 40)
+
+
+def codes(w: np.ndarray) -> np.ndarray:
+    """The words as 32-bit hashes: what is aligned."""
+    return (w >> np.uint64(32)).astype(np.uint32)
+
+
+def banded_lcs(x: list[int], y: list[int], ahead: int, back: int) -> int:
+    """Longest common subsequence, over all matches x[i] = y[j] with ``j - back <= i <= j + ahead`` at least.
+
+    Bit-parallel: the places of x within the band are the bits of a number, in which those not gained so far are set; each
+    word of y takes a few operations on it. The band moves on by ``ROWS`` words at a time, so a number has about
+    ``ROWS + ahead + back`` bits.
+    """
+    places: dict[int, list[int]] = {}
+    for i, word in enumerate(x):
+        places.setdefault(word, []).append(i)
+    open_bits, base, top, gained = 0, 0, 0, 0
+    for j in range(0, len(y), ROWS):
+        lo, hi = min(max(base, j - back), len(x)), min(len(x), j + ROWS + ahead)
+        gone = min(lo, top) - base  # places that leave the band
+        gained += gone - (open_bits & (1 << gone) - 1).bit_count()
+        open_bits >>= gone
+        base, hi = lo, max(hi, lo)
+        top = max(top, base)
+        open_bits |= (1 << hi - top) - 1 << top - base
+        top, full, known = hi, (1 << hi - base) - 1, {}
+        for word in y[j : j + ROWS]:
+            mask = known.get(word)
+            if mask is None:
+                at = places.get(word, ())
+                at = at[bisect_left(at, base) : bisect_left(at, top)] if len(at) else at
+                if len(at) > 64:
+                    bits = np.zeros(top - base, bool)
+                    bits[np.array(at) - base] = True
+                    mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+                else:
+                    mask = 0
+                    for i in at:
+                        mask |= 1 << i - base
+                known[word] = mask
+            if mask:
+                hit = open_bits & mask
+                open_bits = (open_bits + hit | open_bits - hit) & full
+    return gained + top - base - open_bits.bit_count()
+
+
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Similarity of two item sequences by their banded alignment; 0 if it can't reach the threshold."""
+    """Similarity of two word sequences (32-bit codes) by their banded alignment; 0 if it can't reach the threshold."""
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < threshold * max(n, m):
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = (1 - threshold) / (1 + threshold) * (n + m)
-    near = np.abs(i - j) <= band + 1e-9
-    i, j = i[near], j[near]
-    if len(i) < threshold * (n + m - len(i)) - 1e-9:
+    if not n or not m or min(n, m) < threshold * max(n, m) - 1e-9:
         return 0.0
-    j = j[np.argsort(i)]
-    if (j[1:] > j[:-1]).all():
-        lcs = len(j)
-    else:  # items are unique, so the common subsequence is the longest rise of the matched places
-        tails: list[int] = []
-        for x in j.tolist():
-            p = bisect_left(tails, x)
-            tails[p : p + 1] = [x]
-        lcs = len(tails)
-    s = lcs / (n + m - lcs)
-    return s if s >= threshold - 1e-9 else 0.0
+    need = int(np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
+    some = min(n, m)
+    apart = np.flatnonzero(a[:some] != b[:some])
+    head = int(apart[0]) if len(apart) else some  # equal words at the start, then at the end
+    apart = np.flatnonzero(a[n - some + head :][::-1] != b[m - some + head :][::-1])
+    tail = int(apart[0]) if len(apart) else some - head
+    x, y = a[head : n - tail], b[head : m - tail]
+    lcs = head + tail
+    if len(x) and len(y):
+        one, other = (items(v.astype(np.uint64), 1) for v in (x, y))
+        if lcs + len(np.intersect1d(one, other, assume_unique=True)) < need:
+            return 0.0
+        lcs += banded_lcs(x.tolist(), y.tolist(), max(0, n - need), max(0, m - need))
+    return lcs / (n + m - lcs) if lcs >= need else 0.0
 
 
 def node_key(text: bytes | None, w: np.ndarray) -> bytes | None:
@@ -128,12 +215,11 @@ def node_key(text: bytes | None, w: np.ndarray) -> bytes | None:
     return hashlib.md5(w.tobytes() if len(w) else b"\x00" + text, usedforsecurity=False).digest()
 
 
-def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int, ell: int, sketches: int, seed: int, few: int = 0) -> DataFrame:
-    """(doc_id, node, n, sketch, items): node names equal word sequences; n items; sketch is empty for texts without words, items for texts of more than ``few``."""
+def sketched(docs: DataFrame, sketches: Sketches, *, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, n, sketch, marks): node names equal word sequences; n words; sketch is empty for texts without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = np.random.default_rng(seed).integers(1, 1 << 63, sketches).astype(np.uint64) | np.uint64(1)
         seen: dict = {}
         for b in batches:
             rows = []
@@ -142,64 +228,54 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, k: int, ell: int, s
                 w = word_hashes(t)
                 key = node_key(t, w)
                 if key is None or key not in seen:
-                    h = items(w, k)
-                    one = len(h), sketch(h, seeds, ell) if len(h) else np.zeros(0, np.int64), h.view(np.int64) if len(h) <= few else np.zeros(0, np.int64)
-                    if len(seen) > 5000:
+                    if len(seen) > 2000:
                         seen.clear()
-                    seen[key] = one
+                    seen[key] = len(w), sketches.of(w), marks(w)
                 rows.append((key, *seen[key]))
-            lists = []
-            for j in (2, 3):
-                flat = np.concatenate([np.zeros(0, np.int64), *(r[j] for r in rows)])
-                ends = np.cumsum([0, *(len(r[j]) for r in rows)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), *lists], names=["doc_id", "node", "n", "sketch", "items"])
+            flat = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)])
+            values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), values, pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "node", "n", "sketch", "marks"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, node BINARY, n LONG, sketch ARRAY<LONG>, items ARRAY<LONG>")
-
+    return rows.mapInArrow(run, f"doc_id {kind}, node BINARY, n LONG, sketch ARRAY<LONG>, marks BINARY")
 
-def prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, value): the first items of each node (node, n, items), the rarest first, that others have as well; two nodes that reach the threshold share one."""
-    rows = nodes.select("node", "n", F.explode("items").alias("item"))
-    counts = rows.groupBy("item").agg(F.count("*").alias("c"))
-    first = Window.partitionBy("node").orderBy("c", "item")
-    ranked = rows.join(counts, "item").withColumn("rank", F.row_number().over(first))
-    # the smaller of two sets must share at least threshold times the items of the larger one
-    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("c") > 1)).select("node", "n", F.xxhash64("item", F.lit(7)).alias("value"))
 
-
-def node_texts(docs: DataFrame, needed: DataFrame, *, text_col: str) -> DataFrame:
-    """(node, text): one text of each node in ``needed``, stored; the only shuffle of texts."""
+def node_words(docs: DataFrame, needed: DataFrame, *, text_col: str) -> DataFrame:
+    """(node, words): the word codes of each node in ``needed``, stored; the only shuffle of texts."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [node_key(t.as_py(), word_hashes(t.as_py())) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0)], names=["node", "text"])
+            keys, found = [], []
+            for text in b.column(0):
+                w = word_hashes(text.as_py())
+                if len(w):
+                    keys.append(node_key(b"", w))
+                    found.append(codes(w).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["node", "words"])
+        give_back()
 
-    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL").mapInArrow(keyed, "node BINARY, text BINARY")
-    return stored(texts.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "omh-texts")
+    texts = docs.select(F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL").mapInArrow(keyed, "node BINARY, words BINARY")
+    return stored(texts.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "omh-words")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, *, k: int, threshold: float) -> DataFrame:
+def verified(words: DataFrame, pairs: DataFrame, *, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) of nodes that reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None, None
         for batch in batches:
             a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for x, y, tx, ty in zip(a, b, batch.column(2), batch.column(3), strict=True):
-                if last[0] != y:
-                    last = y, items(word_hashes(ty.as_py()), k)
-                s = alignment(items(word_hashes(tx.as_py()), k), last[1], threshold)
+            for x, y, wx, wy in zip(a, b, batch.column(2), batch.column(3), strict=True):
+                s = alignment(np.frombuffer(wx.as_buffer(), np.uint32), np.frombuffer(wy.as_buffer(), np.uint32), threshold)
                 if s:
                     keep.append((x, y, s))
             if keep:
                 c = list(zip(*keep, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.float64())], names=["a", "b", "similarity"])
+        give_back()
 
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(compare, "a BINARY, b BINARY, similarity DOUBLE")
+    joined = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    return joined.select("a", "b", "wa", "wb").mapInArrow(compare, "a BINARY, b BINARY, similarity DOUBLE")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,49 +314,51 @@ def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(relabelled(labels, names).union(names.join(labels, "node", "left_anti").select("node", "component")), "omh-labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, ell: int = 5, sketches: int = 32, threshold: float = 0.8, seed: int = 23) -> DataFrame:
-    """(doc_id, class_id) of every row: class_id is the smallest id among the documents it is linked with, directly or not."""
-    few = int(SHORT / threshold + 1e-9)
-    known = stored(sketched(docs, id_col=id_col, text_col=text_col, k=k, ell=ell, sketches=sketches, seed=seed, few=few), "omh-sketches")
-    nodes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    # a text so short that one more item is too many has no near copy
-    short = known.where((F.col("n") >= threshold * (F.col("n") + 1) - 1e-9) & (F.col("n") <= few)).groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
-    entries = nodes.select("node", "n", F.explode("sketch").alias("value")).unionByName(stored(prefixes(short, threshold), "omh-prefixes"))
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 1, ell: int = 8, sketches: int = 32, short_ell: int = 4, short_sketches: int = 24, threshold: float = 0.8, seed: int = 23
+) -> DataFrame:
+    """(doc_id, class_id, class_size, class_texts) of every row.
+
+    class_id is the smallest id among the documents it is linked with, directly or not; class_size counts the rows of the
+    class, class_texts its different texts (word sequences).
+    """
+    bounded_batches(docs.sparkSession)
+    known = stored(sketched(docs, Sketches(k, ell, sketches, short_ell, short_sketches, threshold, seed), id_col=id_col, text_col=text_col), "omh-sketches")
+    nodes = known.where("n > 0").dropDuplicates(["node"]).select("node", "n", "sketch", "marks")
+    entries = nodes.select("node", "n", F.explode("sketch").alias("value"))
     order = F.xxhash64("node", "value")
     lowest = F.min(F.struct("node", "n")).alias("lowest")  # names are hashes, so this is any node
     heads = entries.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "node", "n")).alias("head"), lowest).where("size > 1")
     members = stored(entries.join(heads, "value").select("value", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), "lowest"), "omh-buckets")
-    texts = node_texts(docs, members, text_col=text_col)
+    words = node_words(docs, members, text_col=text_col)
 
     def fits(other: str) -> Column:
-        return F.least("n", other) >= threshold * F.greatest("n", other)
+        return F.least("n", other) >= threshold * F.greatest("n", other) - 1e-9
 
     first = members.where((F.col("node") != F.col("lowest.node")) & fits("lowest.n")).groupBy(F.col("node").alias("a")).agg(F.min("lowest.node").alias("b"))
-    labels = components(verified(texts, first, k=k, threshold=threshold))
+    labels = components(verified(words, first, threshold=threshold))
     pairs = members.where((F.col("node") != F.col("head")) & fits("head_n")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    still = stored(between(pairs, labels).withColumn("same", F.lit(0)), "omh-open")
-    for width in (1, None):
-        some = likeliest(still, width) if width else still
-        labels = with_links(labels, stored(verified(texts, some.select("a", "b"), k=k, threshold=threshold), "omh-verified"))
-        if width:
-            still = stored(between(still.join(some, ["a", "b"], "left_anti"), labels, "same"), "omh-open")
-
-    rest = stored(unsettled(members, labels, nodes, texts, k, threshold), "omh-rest")
+    labels = with_links(labels, stored(verified(words, between(pairs, labels), threshold=threshold), "omh-verified"))
+    rest = stored(unsettled(members, labels, nodes, threshold), "omh-rest")
     # the likeliest partners first: once one of them links two components, what else lies between them needs no look
-    for width in (1, 8, None):
+    for width in (1, None):
         if not rest.limit(1).count():
             break
         some = likeliest(rest, width) if width else rest
-        labels = with_links(labels, stored(verified(texts, unordered(some), k=k, threshold=threshold), "omh-more"))
+        labels = with_links(labels, stored(verified(words, unordered(some), threshold=threshold), "omh-more"))
         if width:
             rest = stored(between(rest.join(some, ["a", "b"], "left_anti"), labels, "same"), "omh-rest")
-    grouped = known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return grouped.join(names, "component", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    grouped = known.select("doc_id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = grouped.where(F.col("component").isNotNull()).groupBy("component", "node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    names = classes.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("class_texts"))
+    one = F.lit(1).cast("long")
+    return grouped.join(names, "component", "left").select(
+        "doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("class_texts", one).alias("class_texts")
+    )
 
 
 def likeliest(pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b): for each a, in each of ``width`` hash classes of b, the pair whose sketches agree most."""
+    """(a, b): for each a, in each of ``width`` hash classes of b, the pair that agrees in most sketches."""
     best = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(width)).alias("part")).agg(F.max(F.struct("same", "b"))["b"].alias("b"))
     return best.select("a", "b")
 
@@ -295,77 +373,40 @@ def between(pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(one, "a", "left").join(other, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b", *columns)
 
 
-def own_items(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, own): how many items of each of ``nodes`` no other of them has."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = items(word_hashes(text.as_py()), k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array(h)], names=["node", "item"])
-
-    rows = texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(spread, "node BINARY, item LONG")
-    single = rows.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    return single.groupBy("node").agg(F.count("*").alias("own"))
-
-
-def histograms(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, marks): how many items of each of ``nodes`` fall in each of ``MARKS`` hash classes, a byte each; 255 stands for that or more."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marks = [np.minimum(255, np.bincount(items(word_hashes(t.as_py()), k) % np.uint64(MARKS), minlength=MARKS)).astype(np.uint8).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
-
-    return texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(count, "node BINARY, marks BINARY")
-
-
-def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """An upper bound of the items that each row of marks in ``x`` shares with that in ``y``; very large where a class is full."""
-    least = np.minimum(x, y)
-    return least.sum(1, dtype=np.int64) + (least == 255).any(1) * (1 << 40)
-
-
-def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, same): pairs from buckets with several components, a outside the bucket's main one; ``same`` is in how many sketches they agree.
+def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, same): pairs from buckets with several components, a outside the bucket's main one; ``same`` is in how many of these buckets they meet.
 
     A bucket is dealt into blocks of nodes by hash; each group of the comparison holds one block of probes and one of targets.
-    A pair is given only in the first sketch in which its nodes agree, or if there is none in the buckets of items, and only if the items that its nodes share with any node
-    of these buckets, and those that their item histograms let them share, could be enough for the threshold.
+    A pair is given only if the words that the histograms let its nodes share could be enough for the threshold.
     """
     # a node without a link is a component of its own
     own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     share = own.groupBy("value", "component").agg(F.count("*").alias("c"))
     main = share.groupBy("value").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"))
     mixed = main.where("parts > 1").select("value", "main", F.ceil(F.col("all") / BLOCK).alias("tb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("pb"))
-    rows = stored(own.select("value", "node", "n", "component").join(mixed, "value"), "omh-mixed")
-    facts = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "sketch").join(own_items(texts, rows, k), "node", "left").join(histograms(texts, rows, k), "node")
-    rows = rows.join(facts.select("node", "sketch", "marks", (F.coalesce("own", F.lit(0))).alias("own")), "node").withColumn("shared", F.col("n") - F.col("own"))
+    rows = own.select("value", "node", "n", "component").join(mixed, "value")
+    rows = stored(rows.join(nodes.select("node", "marks"), "node"), "omh-mixed")
     spread = F.abs(F.xxhash64("node", F.lit(41)))
-    columns = ["value", "node", "n", "component", "sketch", "marks", "shared"]
-    # what can't reach the threshold with anybody is no probe and no target
-    able = rows.where(F.col("shared") >= threshold * F.col("n") - 1e-6)
-    targets = able.select(*columns, F.lit(False).alias("probe"), (spread % F.col("tb")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
-    probes = able.where("component <> main").select(*columns, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"), (spread % F.col("pb")).alias("p"))
-
-    def agree(group: pd.DataFrame) -> pd.DataFrame:
-        probe = group[group["probe"]]
-        target = group[~group["probe"]]
+    columns = ["value", "node", "n", "component", "marks"]
+    targets = rows.select(*columns, F.lit(False).alias("probe"), (spread % F.col("tb")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
+    probes = rows.where("component <> main").select(*columns, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("t"), (spread % F.col("pb")).alias("p"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        probe, target = group[group["probe"]], group[~group["probe"]]
         if not len(probe) or not len(target):
-            return pd.DataFrame({"a": [], "b": [], "same": []})
-        s, t = np.stack(probe["sketch"]), np.stack(target["sketch"])
-        band = np.flatnonzero(s[0] == group["value"].iloc[0])  # none in the bucket of an item
+            return pd.DataFrame({"a": [], "b": []})
         n, m = probe["n"].to_numpy()[:, None], target["n"].to_numpy()[None, :]
-        most = np.minimum(probe["shared"].to_numpy()[:, None], target["shared"].to_numpy()[None, :])
-        equal = s[:, None, :] == t[None, :, :]
-        good = (equal.any(2) & (equal.argmax(2) == band[0]) if len(band) else ~equal.any(2)) & (most >= threshold * (n + m - most) - 1e-6)
-        good &= probe["component"].to_numpy()[:, None] != target["component"].to_numpy()[None, :]
+        good = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (probe["component"].to_numpy()[:, None] != target["component"].to_numpy()[None, :])
         i, j = np.nonzero(good)
         x, y = (np.frombuffer(b"".join(side["marks"]), np.uint8).reshape(-1, MARKS) for side in (probe, target))
-        bound = most_shared(x[i], y[j])
-        can = bound >= threshold * (n[i, 0] + m[0, j] - bound) - 1e-6
-        i, j = i[can], j[can]
-        return pd.DataFrame({"a": probe["node"].to_numpy()[i], "b": target["node"].to_numpy()[j], "same": equal.sum(2)[i, j]})
-
-    found = targets.unionByName(probes).groupBy("value", "t", "p").applyInPandas(agree, "a BINARY, b BINARY, same LONG")
-    return found.distinct()
+        found = []
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            bound = most_shared(x[a], y[b])
+            can = bound >= threshold * (n[a, 0] + m[0, b] - bound) - 1e-6
+            found.append((a[can], b[can]))
+        i, j = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, int) for s in (0, 1))
+        return pd.DataFrame({"a": probe["node"].to_numpy()[i], "b": target["node"].to_numpy()[j]})
+
+    found = targets.unionByName(probes).groupBy("value", "t", "p").applyInPandas(meet, "a BINARY, b BINARY")
+    return found.groupBy("a", "b").agg(F.count("*").alias("same"))

@@ -3,11 +3,11 @@
 ``token_pieces`` tokenises whole texts and cuts each document into pieces of at most ``max_tokens`` ids;
 ``assign_sequences`` deals the pieces of each group into sequences; ``sequences`` builds the packed id lists.
 
-Only piece lengths are shuffled for the packing. A group is a hash class of (id, text length), so each has about
-``group_docs`` documents however the table is ordered, and every group is packed by itself.
+Only piece lengths are shuffled for the packing. A group is a hash class of (id, number of the row), so each has about
+``group_docs`` documents however the table is ordered and however often an id comes, and every group is packed by itself.
 
 Edge cases: a null or empty text is the end-of-document id alone; a null id packs like any other; repeated rows are packed
-as often as they occur; an empty table gives no pieces; extra columns are ignored.
+as often as they occur, and pieces of equal length go by id, start and content; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches, give_back
+
 PIECE_SCHEMA = "doc_id {id}, pack_group LONG, start LONG, length LONG, ids BINARY, doc_tokens LONG"
 PACKED = "doc_id {id}, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG, sequence_tokens LONG, padded_tokens LONG"
 #: A blank before white space or the end.
 ODD = r" ([\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|$)"
-#: Entries of a cache; when it is full half of it goes, so memory is bounded.
-CACHE = 700_000
+#: Entries of a cache; when it is full half of it goes, so memory is bounded. ``KEPT`` of them outlive a task.
+CACHE, KEPT = 400_000, 100_000
 #: Bytes of text that are split and looked up at a time (a longer text goes by itself).
 BATCH_BYTES = 4 << 20
 
@@ -78,8 +80,8 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         known, codes, ends = coded.dictionary.to_pylist(), coded.indices, lists.offsets.to_numpy()
         ends = ends - ends[0]
-        if len(self.words) > CACHE:  # the entries that came first are the most frequent ones, so they stay
-            self.words = dict(islice(self.words.items(), CACHE // 2))
+        if len(self.words) > CACHE:
+            self.forget(CACHE // 2)
         new = [w for w in known if w not in self.words]
         self.learn(new)
         heads = codes.take(pa.array(ends[:-1])).to_pylist()
@@ -93,6 +95,10 @@ class Encoder:
                 del self.words[w]
         return out
 
+    def forget(self, kept: int) -> None:
+        """Keep so many entries: those that came first, which are the most frequent ones."""
+        self.words = dict(islice(self.words.items(), kept))
+
     def learn(self, new: list[str]) -> None:
         """Add the ids of words, encoded in one text and cut where the bytes of each word end."""
         if not new:
@@ -120,12 +126,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     """One row a piece: its ids (little-endian 32 bit), where it starts in its document, and its document's packing group."""
     groups = max(1, -(-docs.count() // group_docs))
     kind = docs.schema[id_col].dataType.simpleString()
-    group = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col), F.lit(29)), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id(), F.lit(29)), F.lit(groups))
     rows = docs.select(F.col(id_col).alias("doc_id"), group.alias("pack_group"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end, step = int(eos_id).to_bytes(4, "little"), 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        known = encoder(tokenizer_path)
+        encode = known.encode
 
         def cut(b: pa.RecordBatch) -> Iterator[tuple]:
             turn = np.cumsum(pc.binary_length(b.column(2)).to_numpy().astype(np.int64)) // BATCH_BYTES
@@ -145,7 +152,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
             while some := list(islice(pieces, 2000)):
                 c = list(zip(*some, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], b.schema.field(0).type), *(pa.array(x, pa.int64()) for x in c[1:4]), pa.array(c[4], pa.binary()), pa.array(c[5], pa.int64())], names=["doc_id", "pack_group", "start", "length", "ids", "doc_tokens"])
+        known.forget(KEPT)
+        give_back()
 
+    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(run, PIECE_SCHEMA.format(id=kind))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import append_column, labelled_sample, residue, stored, word_hashes
+from ._common import append_column, labelled_sample, stored, word_hashes
 from .order_minhash import items, sketch
 
 LEXICON_VOTERS, PATTERNS = 8, ("two_hits", "dense_hits", "shouting", "mark_runs")
@@ -71,7 +71,7 @@ class _Found(dict):
     def __missing__(self, w: bytes) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
         fs = features(w.decode("utf-8", "replace"))
         c, v = (tuple(d[f] for f in fs if f in d) for d in (self.model.vocabulary, self.model.lexicon))
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[w] = out = (c, v) if c or v else None
         return out
@@ -338,8 +338,3 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "
         return run
 
     return append_column(docs, [text_col], out, RESULT, make)
-
-
-def not_residue(modulus: int, held: int, id_col: str = "doc_id") -> Column:
-    """True for ids whose crc32 as text, modulo ``modulus``, isn't ``held``: rows whose labels may be learned."""
-    return residue(id_col, modulus) != held
