@@ -37,7 +37,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Most bytes of a batch between Spark and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -104,15 +104,19 @@ def residue(column: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % modulus, F.lit(0))
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, keep: Column, cap: int) -> DataFrame:
-    """(id, label) of at most ``cap`` distinct labelled ids a class, the ones with the smallest hash; so at most 2 * cap rows.
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, keep: Column, cap: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(id, label, part) of at most ``cap`` distinct labelled ids a class, the ones with the smallest hash; and what a row of either class weighs.
 
-    Of contradictory rows for an id, label 1 counts. Rows without id or label don't count.
+    Of contradictory rows for an id, label 1 counts. Rows without id or label don't count. ``part`` (0 to 5) deals the ids by
+    hash: models fit parts 1 to 5 and are calibrated on part 0. The weights bring the classes back to their shares among
+    all labelled ids, so a calibration means the same whether the sample is full or not.
     """
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & keep)
     one = one.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    sizes = {r[0]: r[1] for r in one.groupBy("_label").count().collect()}
+    part = F.pmod(F.xxhash64("_label_id", F.lit(12)), F.lit(6)).cast("int")
     parts = [one.where(F.col("_label") == k).orderBy(F.xxhash64("_label_id", F.lit(11)), "_label_id").limit(cap) for k in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).withColumn("_part", part), tuple(max(1.0, sizes.get(k, 0) / cap) for k in (0, 1))
 
 
 #: A-Z to a-z; ASCII that is neither letter nor digit to a blank; all bytes above 0x7F stay, as parts of words.

@@ -77,24 +77,25 @@ def sketch(h: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
     if len(h) <= ell:
         at = np.tile(np.arange(len(h)), (len(seeds), 1))
     elif len(h) <= CHUNK:
-        v = h * seeds[:, None]
-        at = np.flatnonzero(v <= np.partition(v, ell - 1, axis=1)[:, ell - 1 : ell]).reshape(len(seeds), ell) % len(h)  # items are unique, so no ties
+        at = _least(h * seeds[:, None], ell)
     else:
-        parts = [_first(h, seeds, ell, np.tile(np.arange(start, min(len(h), start + CHUNK)), (len(seeds), 1))) for start in range(0, len(h), CHUNK)]
-        at = _first(h, seeds, ell, np.hstack(parts))
+        parts = [np.arange(start, min(len(h), start + CHUNK)) for start in range(0, len(h), CHUNK)]
+        at = np.hstack([part[_least(h[part] * seeds[:, None], ell)] for part in parts])
+        at = np.take_along_axis(at, _least(h[at] * seeds[:, None], ell), 1)
     out = seeds.copy()
     for j in range(at.shape[1]):
         out = out * _GOLD + h[at[:, j]]
     return mix(out).view(np.int64)
 
 
-def _first(h: np.ndarray, seeds: np.ndarray, ell: int, at: np.ndarray) -> np.ndarray:
-    """The places, rising, of the ell items among ``at`` (a row a seed) that come first in each seed's order."""
-    if at.shape[1] <= ell:
-        return at
-    v = h[at] * seeds[:, None]
-    last = np.partition(v, ell - 1, axis=1)[:, ell - 1 : ell]
-    return at[v <= last].reshape(len(seeds), ell)
+def _least(v: np.ndarray, ell: int) -> np.ndarray:
+    """The places, rising, of the ell least values of each row."""
+    if v.shape[1] <= ell:
+        return np.tile(np.arange(v.shape[1]), (len(v), 1))
+    at = np.flatnonzero(v <= np.partition(v, ell - 1, axis=1)[:, ell - 1 : ell])
+    if len(at) != len(v) * ell:  # equal values: two items share a hash
+        return np.sort(np.argpartition(v, ell - 1, axis=1)[:, :ell], axis=1)
+    return at.reshape(len(v), ell) % v.shape[1]
 
 
 def leftovers(w: np.ndarray, threshold: float) -> np.ndarray:

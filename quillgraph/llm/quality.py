@@ -4,11 +4,14 @@ Each text gives ``len(STATISTICS)`` statistics. A random map of cosines approxim
 equations of the ridge scores are summed within partitions, then over them; a monotone step curve (pool adjacent violators)
 turns raw scores into probabilities.
 
+The curve is fitted on labelled rows apart from those of the ridge, the classes at their shares among all labels.
+
 The fit reads at most ``2 * rows_per_class`` labelled documents (a documented bound), so the normal equations have
 ``features ** 2`` numbers and few partitions; scoring is one pass without a shuffle.
 
 Edge cases: null and empty texts have all statistics 0 and get the score of that point; without labelled rows every score is
-0.5; with one class only, the score is that class; very long texts are read whole; repeated rows get equal scores.
+0.5; with one class only, the score is that class; very long texts are read whole; repeated rows get equal scores; an empty table gives no rows; extra columns pass
+through, but for one named like the output, which it replaces.
 """
 
 from __future__ import annotations
@@ -96,17 +99,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     spark, k = docs.sparkSession, len(STATISTICS)
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (k, features)), rng.uniform(0, 2 * np.pi, features)
-    sample = labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, rows_per_class)
+    sample, weigh = labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, rows_per_class)
     chosen = F.broadcast(sample)  # at most 2 * rows_per_class rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("_label_id"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            x = [statistics(t.as_py()) for t in r.column(1)]
-            yield pa.RecordBatch.from_arrays([r.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
-
-    table = rows.select("_label", "text").mapInArrow(measure, "y INT, x ARRAY<DOUBLE>")
-    known = stored(table, "quality-sample")
+            x = [statistics(t.as_py()) for t in r.column(2)]
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "part", "x"])
+
+    table = stored(rows.select("_label", "_part", "text").mapInArrow(measure, "y INT, part INT, x ARRAY<DOUBLE>"), "quality-sample")
+    some = {(r["y"], r["part"] == 0) for r in table.select("y", "part").distinct().collect()}
+    # fitted on five parts of six and calibrated on the other; on all rows where one of the two lacks a class
+    split = len(some) == 4
+    known, apart = (table.where("part > 0"), table.where("part = 0")) if split else (table, table)
+    known, apart = known.select("y", "x"), apart.select("y", "x")
     sums = known.select(F.count("*").alias("n"), F.sum("y").alias("pos"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(k))).first()
     n, pos = sums["n"], sums["pos"] or 0
     empty = Model(np.zeros(k), np.ones(k), w, b, np.zeros(features + 1), np.array([0.0]), np.array([0.5]))
@@ -129,9 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     normal = np.zeros((features + 1, features + 2))
     normal[summed.column(0).to_numpy(), summed.column(1).to_numpy()] = summed.column(2).to_numpy()
     theta = np.linalg.solve(normal[:, :-1] + ridge * n * np.eye(features + 1), normal[:, -1])
-    scored = known.toArrow()  # bounded by 2 * rows_per_class
-    raw = fourier(np.array(scored.column(1).to_pylist()), base) @ theta
-    knots, levels = isotonic(raw, scored.column(0).to_numpy().astype(float))
+    scored = apart.toArrow()  # bounded by 2 * rows_per_class
+    raw, y = fourier(np.array(scored.column(1).to_pylist()), base) @ theta, scored.column(0).to_numpy().astype(float)
+    knots, levels = isotonic(raw, y, np.where(y == 1, weigh[1], weigh[0]))
     return Model(**base.__dict__ | {"theta": theta, "knots": knots, "levels": np.clip(levels, 0.001, 0.999)})
 
 

@@ -7,7 +7,7 @@
    the correlations of voters: each voter depends on the class and on one other voter, along the tree of the largest
    conditional mutual information.
 3. A linear (logistic) classifier over indicative words and stems learns the posteriors of a bounded sample of documents; a
-   logistic curve fitted on labelled rows calibrates its score.
+   logistic curve calibrates its score, fitted on labelled rows that the lexicon hasn't seen, classes at their shares among all labels.
 
 Edge cases: null, empty and wordless texts have no votes and no features and get the intercept's score; without any labelled
 toxic row there is no lexicon and every score is the share of toxic labels (0 without labels); very long texts are read
@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ LEXICON_VOTERS, PATTERNS = 8, ("two_hits", "dense_hits", "shouting", "mark_runs"
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
 STEMS = (3, 4, 5, 6, 7, 8)
 RESULT = "score DOUBLE, votes INT, posterior DOUBLE"
+#: Words whose features a task remembers.
+CACHE = 300_000
 _UPPER = bytes(range(65, 91))
 #: A-Z to a-z, bytes below 0x80 that are no letters to blanks.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -71,8 +74,10 @@ class _Found(dict):
     def __missing__(self, w: bytes) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
         fs = features(w.decode("utf-8", "replace"))
         c, v = (tuple(d[f] for f in fs if f in d) for d in (self.model.vocabulary, self.model.lexicon))
-        if len(self) > 150_000:
+        if len(self) > CACHE:  # the words that came first are the most frequent ones, so they stay
+            kept = dict(islice(self.items(), CACHE // 2))
             self.clear()
+            self.update(kept)
         self[w] = out = (c, v) if c or v else None
         return out
 
@@ -241,13 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = F.broadcast(labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, rows_per_class))
-    known = base.join(sample, F.col("id") == F.col("_label_id")).select("text", "_label")
+    sample, weigh = labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, rows_per_class)
+    known = base.join(F.broadcast(sample), F.col("id") == F.col("_label_id")).select("text", "_label", "_part")
     known = stored(known, "toxicity-sample")
-    vocabulary, lexicon = induce(without_copies(known))
+    vocabulary, lexicon = induce(without_copies(known.where("_part > 0").select("text", "_label")))
     model = Model(vocabulary, lexicon)
     if not lexicon:
-        n = known.agg(F.avg("_label")).first()[0]
+        n = known.select(F.when(F.col("_label") == 1, weigh[1]).otherwise(weigh[0]).alias("w"), "_label").agg(F.sum(F.col("w") * F.col("_label")) / F.sum("w")).first()[0]
         return replace(model, constant=float(n or 0.0))
     shared = sc.broadcast(model)
 
@@ -266,7 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     found = base.select("text").mapInArrow(count, "votes INT, n LONG").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toArrow()
     votes, counts = found.column(0).to_numpy(), found.column(1).to_numpy().astype(float)
     bits = (votes[:, None] >> np.arange(VOTERS) & 1).astype(np.int64)
-    told = known.mapInArrow(lambda it: read(b.select([0, 1]) for b in it), "votes INT, columns ARRAY<INT>, _label INT").toArrow()
+    # calibration: labelled rows that induced nothing, or all where these lack a class
+    apart = known.where("_part = 0")
+    if apart.select("_label").distinct().count() < 2:
+        apart = known
+    told = apart.select("text", "_label").mapInArrow(lambda it: read(b.select([0, 1]) for b in it), "votes INT, columns ARRAY<INT>, _label INT").toArrow()
     v, y = told.column(0).to_numpy(), told.column(2).to_numpy().astype(float)
     # where the labels put each pattern to begin with: few labels, so lexicon votes stand in for patterns that have none
     start = np.where((bits[:, :LEXICON_VOTERS]).any(1), 0.9, 0.02)
@@ -293,14 +302,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     train = every.select("text", "h").mapInArrow(pick, "columns ARRAY<INT>, p DOUBLE").toArrow()
     weights, intercept = logistic(train.column(0).to_pylist(), train.column(1).to_numpy(), len(vocabulary))
-    # calibration on the labelled sample, classes at their weights in it
     z = np.array([weights[c].sum() for c in told.column(1).to_pylist()]) + intercept
-    slope, offset = _curve(z, y)
+    slope, offset = _curve(z, y, np.where(y == 1, weigh[1], weigh[0]))
     return replace(model, weights=weights, intercept=intercept, slope=slope, offset=offset)
 
 
-def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of y on z, by Newton steps with smoothed targets."""
+def _curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of y on z, by Newton steps with smoothed targets; rows weigh ``weight``."""
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         return 1.0, 0.0
@@ -310,7 +318,7 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g, h = x.T @ (p - t), (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        g, h = x.T @ (weight * (p - t)), (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         step = np.clip(np.linalg.solve(h, g), -2, 2)
         w -= step
         if np.abs(step).max() < 1e-8:

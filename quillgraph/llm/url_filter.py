@@ -9,7 +9,7 @@ have at most ``2 * ALPHABET ** (ORDER + 1)`` counts at any corpus size; they are
 The calibration is a logistic curve through a histogram of the scores with a fixed number of bins.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule, and is scored as an empty string,
-which is no evidence: allow. If accepted or blocked examples are missing, the method allows all. Of rules of equal length
+which is no evidence: allow; a very long URL is read whole, repeated rows get equal verdicts, an empty table gives no rows. If accepted or blocked examples are missing, the method allows all. Of rules of equal length
 the first in (block, allow), then alphabetical order, wins.
 """
 
@@ -108,8 +108,13 @@ def score(model: Model, url: str | None) -> float:
 
 
 def fit(urls: DataFrame, *, url_col: str = "url", verdict_col: str = "verdict") -> Model:
-    """Both models from all rows whose verdict is allow or block; calibrated on the same rows, classes weighing alike."""
-    rows = urls.where(F.col(verdict_col).isin("allow", "block") & F.col(url_col).isNotNull()).select((F.col(verdict_col) == "block").cast("int").alias("c"), F.col(url_col).alias("url"))
+    """Both models from all rows whose verdict is allow or block; calibrated with classes weighing alike.
+
+    URLs are dealt to two folds by hash. Those of one are scored, for the calibration only, by models counted on the other, so
+    no URL is judged by a model that has seen it; the models that are returned count all.
+    """
+    kind = (F.col(verdict_col) == "block").cast("int").alias("c")
+    rows = urls.where(F.col(verdict_col).isin("allow", "block") & F.col(url_col).isNotNull()).select((kind + 2 * F.pmod(F.xxhash64(F.col(url_col), F.lit(13)), F.lit(2)).cast("int")).alias("c"), F.col(url_col).alias("url"))
     size = ALPHABET ** (ORDER + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +128,19 @@ def fit(urls: DataFrame, *, url_col: str = "url", verdict_col: str = "verdict")
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["cell", "n"])
 
     cells = rows.mapInArrow(count, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * size, np.int64)
+    counts = np.zeros(4 * size, np.int64)
     counts[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
-    if not counts[:size].any() or not counts[size:].any():
+    accepted, rejected, accepted2, rejected2 = counts.reshape(4, size)
+    if not (accepted + accepted2).any() or not (rejected + rejected2).any():
         return Model(None)
-    raw = Model((smoothed(counts[:size]), smoothed(counts[size:])))
+    raw = Model((smoothed(accepted + accepted2), smoothed(rejected + rejected2)))
     # calibration: the two classes' histograms of scores, whole numbers of bins
-    told = with_score(rows, raw, url_col="url", out="s").select("c", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("s.ratio") + SPAN) * (BINS / 2 / SPAN)))).alias("bin"))
-    found = told.groupBy("c", "bin").count().toArrow().to_pydict()
     hist = np.zeros((2, BINS))
-    hist[found["c"], found["bin"]] = found["count"]
+    for fold, other in ((0, (accepted2, rejected2)), (1, (accepted, rejected))):
+        judge = Model((smoothed(other[0]), smoothed(other[1]))) if other[0].any() and other[1].any() else raw
+        told = with_score(rows.where(F.floor(F.col("c") / 2) == fold), judge, url_col="url", out="s")
+        found = told.select((F.col("c") % 2).alias("c"), F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("s.ratio") + SPAN) * (BINS / 2 / SPAN)))).alias("bin")).groupBy("c", "bin").count().toArrow().to_pydict()
+        np.add.at(hist, (np.array(found["c"], int), np.array(found["bin"], int)), np.array(found["count"], float))
     return Model(raw.logs, *logistic((np.arange(BINS) + 0.5) * (2 * SPAN / BINS) - SPAN, hist[0] / hist[0].sum(), hist[1] / hist[1].sum()))
 
 

@@ -61,3 +61,11 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{empty}/labels.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_an_id_on_two_texts_loses_neither(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, b), (5, a), (5, b), (7, c), (7, c), (None, a), (None, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert sorted(kept) == [(2, b), (5, a), (7, c)]
