@@ -6,7 +6,7 @@ claim_id, evidence). Ties are broken by (ch, claim_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE = ["src", "predicate", "dst"]
@@ -17,11 +17,9 @@ def deduplicated(claims: DataFrame) -> DataFrame:
 
     Empty evidence doesn't replace evidence, so the best claim with evidence wins, if any has some.
     """
-    has = F.when(F.coalesce("evidence", F.lit("")) != "", 1).otherwise(0)
-    first = F.struct(has, F.col("confidence"))
-    w = Window.partitionBy(*EDGE, "ch").orderBy(first.desc(), "claim_id")
-    ranked = claims.withColumn("rank", F.row_number().over(w))
-    return ranked.groupBy(*EDGE, "ch").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.max(F.when(F.col("rank") == 1, F.col("evidence"))).alias("evidence"))
+    none = F.when(F.coalesce("evidence", F.lit("")) != "", 0).otherwise(1)
+    first = F.struct(none.alias("none"), (-F.col("confidence")).alias("less"), "claim_id")
+    return claims.groupBy(*EDGE, "ch").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.min_by("evidence", first).alias("evidence"))
 
 
 def symmetric(claims: DataFrame, predicates: list[str]) -> DataFrame:
@@ -39,25 +37,28 @@ def edges(claims: DataFrame) -> DataFrame:
 
 
 def co_mentions(pairs: DataFrame, appearances: DataFrame) -> DataFrame:
-    """(src, dst, co_mention): in how many units both ends of each distinct pair stand."""
-    a = appearances.select(F.col("entity_id").alias("src"), "ch")
-    b = appearances.select(F.col("entity_id").alias("dst"), "ch")
-    return pairs.select("src", "dst").distinct().join(a, "src").join(b, ["dst", "ch"]).groupBy("src", "dst").agg(F.count("*").alias("co_mention"))
+    """(src, dst, co_mention): in how many units both ends of each distinct pair stand, 1 or more.
+
+    The units of an entity are one array (as many values as there are units), so pairs meet two rows and aren't multiplied.
+    """
+    units = appearances.groupBy("entity_id").agg(F.collect_set("ch").alias("units"))
+    a, b = (units.select(F.col("entity_id").alias(end), F.col("units").alias(f"{end}_units")) for end in ("src", "dst"))
+    met = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst")
+    return met.select("src", "dst", F.size(F.array_intersect("src_units", "dst_units")).cast("long").alias("co_mention")).where("co_mention > 0")
 
 
 def cumulative_share(df: DataFrame, value: str, out: str, scale: int = 1000) -> DataFrame:
     """Append the share of rows whose ``value`` is at most the row's own (the percentile rank).
 
-    Two levels, so no window holds all rows: buckets of width 1 / ``scale`` are counted and summed up (their number is bounded
-    by the range of the values), and rows are ranked within their bucket.
+    Rows are counted by value first (combined on the map side); only distinct values are ranked, in buckets of width
+    1 / ``scale``, so a value that many rows share is one row of a window.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(value) * scale))
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    whole = Window.orderBy("_bucket")
-    below = sizes.select("_bucket", (F.sum("_size").over(whole) - F.col("_size")).alias("_below"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_all"))
-    inside = Window.partitionBy("_bucket").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = bucketed.withColumn("_upto", F.count("*").over(inside)).join(below, "_bucket")
-    return ranked.withColumn(out, (F.col("_below") + F.col("_upto")) / F.col("_all")).drop("_bucket", "_upto", "_below", "_all")
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_bucket", F.floor(F.col("_v") * scale))
+    sizes = counts.groupBy("_bucket").agg(F.sum("_n").alias("_size"))
+    below = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_below"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy("_bucket").orderBy("_v"))
+    ranked = counts.withColumn("_upto", upto).join(below, "_bucket").select("_v", ((F.col("_below") + F.col("_upto")) / F.col("_all")).alias(out))
+    return df.join(ranked, F.col(value) == F.col("_v")).drop("_v")
 
 
 def edge_metrics(claims: DataFrame, appearances: DataFrame) -> DataFrame:
@@ -105,10 +106,6 @@ def coverage(entities: DataFrame, appearances: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("covered") / F.col("total"), 4))
 
 
-def percent(c: Column, digits: int = 4) -> Column:
-    return F.round(c, digits)
-
-
 def basis_hash(claims: DataFrame, key: str) -> DataFrame:
     """(key, basis): 16 hex digits that name the set of live claims about each key; what a stored note is compared with."""
     ids = F.array_join(F.array_sort(F.collect_set("claim_id")), "|")

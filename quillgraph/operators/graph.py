@@ -143,28 +143,82 @@ def _spread(edges: DataFrame, tail: str, head: str) -> DataFrame:
             return labels
 
 
-def communities(graph: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): weighted label propagation over an undirected graph (a, b, weight).
+def communities(graph: DataFrame, rounds: int = 8, levels: int = 10, least_gain: float = 1e-3) -> DataFrame:
+    """(node, community) by Louvain (resolution 1) over an undirected graph (a, b, weight); a community is named by one of its nodes.
 
-    Every node takes the label with the largest summed weight among its neighbours and itself, ties to the smaller label; nodes
-    of either hash parity move in turn, which keeps two sides of an edge from swapping labels for ever. Deterministic.
+    In a level, nodes move to the neighbouring community with the largest gain in modularity, until fewer than one in a hundred would, or ``rounds`` are
+    over; communities then become the nodes of the next level, until the modularity grows by less than ``least_gain``. All moves of a round
+    are made at once, so half of the nodes, by a hash that changes with the round, may move in it: two ends of an edge seldom
+    swap. Deterministic; ties go to the smaller name. Everything is a join or a sum by node and community.
     """
-    both = stored(graph.select("a", "b", "weight").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "lpa-edges")
-    own = both.groupBy("a").agg(F.max("weight").alias("weight")).select("a", F.col("a").alias("b"), "weight")
-    votes = both.unionByName(own)
-    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "lpa-labels")
-    for r in range(rounds):
-        tally = votes.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.round(F.sum("weight"), 6).alias("w"))
-        best = tally.groupBy("a").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
-        turn = F.abs(F.xxhash64("node")) % 2 == r % 2
-        new = labels.join(best.withColumnRenamed("a", "node"), "node").select("node", F.col("community").alias("old"), F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"))
-        new = stored(new, "lpa-labels")
-        labels = new.select("node", "community")
-        if r and not new.where("community <> old").limit(1).count():
+    edges = graph.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+    links = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    links = stored(links.withColumn("weight", F.col("weight").cast("double")), "louvain-links")
+    total = links.agg(F.sum("weight")).first()[0] or 0.0  # twice the weight of all edges
+    labels = stored(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "louvain-labels")
+    before = -1.0
+    for level in range(levels if total else 0):
+        moved = _moved(links, total, rounds, level)
+        ca, cb = (moved.select(F.col("node").alias(x), F.col("community").alias("c" + x)) for x in "ab")
+        merged = links.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight"))
+        merged = stored(merged, "louvain-links")
+        degree = merged.groupBy("a").agg(F.sum("weight").alias("d"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inner"))
+        now = degree.agg(F.sum(F.col("inner") / total - F.col("d") * F.col("d") / (total * total))).first()[0]
+        if now - before < least_gain:
             break
+        up = moved.select(F.col("node").alias("community"), F.col("community").alias("higher"))
+        labels = stored(labels.join(up, "community").select("node", F.col("higher").alias("community")), "louvain-labels")
+        links, before = merged, now
     return labels
 
 
+def _moved(links: DataFrame, total: float, rounds: int, level: int) -> DataFrame:
+    """(node, community) after the moves of one level; ``links`` (a, b, weight) hold both directions, and loops."""
+    degree = stored(links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "louvain-degree")
+    labels = degree.select("node", "k", F.col("node").alias("community"))
+    between = links.where("a <> b")
+    for r in range(rounds):
+        sums = labels.groupBy("community").agg(F.sum("k").alias("all"))
+        near = between.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("to"))
+        own = labels.select("node", "community", F.lit(0.0).alias("to"))  # to stay is a choice as well
+        choices = near.unionByName(own).groupBy("node", "community").agg(F.sum("to").alias("to"))
+        said = choices.join(labels.select("node", "k", F.col("community").alias("old")), "node").join(sums, "community")
+        others = F.col("all") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
+        gain = F.round((F.col("to") - F.col("k") * others / total) / total, 12)
+        best = said.groupBy("node").agg(F.first("k").alias("k"), F.first("old").alias("old"), F.min(F.struct((-gain).alias("less"), (F.col("community") != F.col("old")).alias("new"), "community")).alias("best"))
+        turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(r)), F.lit(2)) == 0
+        new = best.select("node", "k", "old", F.when(turn, F.col("best.community")).otherwise(F.col("old")).alias("community"), (F.col("best.community") != F.col("old")).alias("wish"))
+        new = stored(new, "louvain-moves")
+        labels = new.select("node", "k", "community")
+        if new.agg(F.avg(F.col("wish").cast("int"))).first()[0] < 0.01:
+            break
+    return labels.select("node", "community")
+
+
+def community_profiles(graph: DataFrame, labels: DataFrame, claims: DataFrame, degrees: DataFrame, least: int = 3, members: int = 10, words: int = 6, samples: int = 8) -> DataFrame:
+    """(id, key, size, members, first_chapter, last_chapter, claims, predicates, evidence): communities of ``least`` nodes or more, the largest first.
+
+    Members are the strongest by weighted degree; chapters, predicates and the surest evidence are those of claims within. The
+    key is the digest of the first five members, so it survives a new numbering.
+    """
+    sized = labels.join(labels.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least), "community")
+    w = Window.partitionBy("community").orderBy(F.desc("weighted_degree"), "node")
+    ranked = sized.join(degrees.select(F.col("entity_id").alias("node"), "weighted_degree"), "node", "left").fillna({"weighted_degree": 0.0}).withColumn("r", F.row_number().over(w))
+    top = ranked.where(F.col("r") <= members).groupBy("community").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("r", "node")))["node"].alias("members"))
+    a, b = (labels.select(F.col("node").alias(x), F.col("community").alias("c" + x)) for x in ("src", "dst"))
+    inner = claims.join(a, "src").join(b, "dst").where("csrc = cdst").withColumnRenamed("csrc", "community")
+    spans = inner.groupBy("community").agg(F.min("ch").alias("first_chapter"), F.max("ch").alias("last_chapter"), F.count("*").alias("claims"))
+    kinds = inner.groupBy("community", "predicate").agg(F.count("*").alias("n"))
+    kinds = kinds.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "predicate"))).where(F.col("r") <= words)
+    kinds = kinds.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("r", "predicate")))["predicate"].alias("predicates"))
+    best = inner.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("confidence"), "ch", "claim_id"))).where(F.col("r") <= samples)
+    best = best.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("r", "evidence")))["evidence"].alias("evidence"))
+    out = top.join(spans, "community", "left").join(kinds, "community", "left").join(best, "community", "left")
+    key = F.md5(F.array_join(F.array_sort(F.slice("members", 1, 5)), "|"))
+    number = F.row_number().over(Window.orderBy(F.desc("size"), "community"))  # a row a community
+    return out.select(number.alias("id"), key.alias("key"), "size", "members", "first_chapter", "last_chapter", F.coalesce("claims", F.lit(0)).alias("claims"), "predicates", "evidence")
+
+
 def modularity(graph: DataFrame, labels: DataFrame) -> DataFrame:
     """One row (modularity): how much heavier edges within communities are than by chance."""
     e = graph.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")

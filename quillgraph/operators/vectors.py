@@ -44,9 +44,14 @@ def representatives(vectors: DataFrame, cents: DataFrame, top: int = 4, *, id_co
 
 
 def cluster_links(cents: DataFrame, top: int = 3) -> DataFrame:
-    """(a, b, similarity): of each cluster the ``top`` most similar centroids, each pair once, a < b. The number of clusters is small."""
+    """(a, b, similarity): of each cluster the ``top`` most similar ones, each pair once, a < b. The number of clusters is small.
+
+    Half of the similarity is the cosine of the centroids, half the mean similarity of all pairs of members, which for unit
+    vectors is the dot product of the mean vectors.
+    """
     x, y = cents.select(F.col("label").alias("a"), F.col("centroid").alias("ca")), cents.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-    pairs = x.join(y, F.col("a") != F.col("b")).select("a", "b", F.round(cosine(F.col("ca"), F.col("cb")), 4).alias("similarity"))
+    score = 0.5 * cosine(F.col("ca"), F.col("cb")) + 0.5 * dot(F.col("ca"), F.col("cb"))
+    pairs = x.join(y, F.col("a") != F.col("b")).select("a", "b", F.round(score, 4).alias("similarity"))
     w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()

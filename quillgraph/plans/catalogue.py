@@ -45,7 +45,7 @@ EDGE_SQL = """, edge AS (
 ), scored AS (
   SELECT edge.*, coalesce(co_mention, 0) AS co_mention, round(ln(1 + support_count) + 1.2 * ln(1 + archive_count) + 0.5 * ln(1 + coalesce(co_mention, 0)) + confidence_avg, 9) AS raw
   FROM edge LEFT JOIN co USING (src, dst)
-), metric AS (
+), metric AS MATERIALIZED (
   SELECT src, predicate, dst, support_count AS claim_count, archive_count, co_mention, round(confidence_avg, 4) AS confidence_avg, confidence, first_chapter, last_chapter, round(cume_dist() OVER (ORDER BY raw), 4) AS weight FROM scored
 )"""
 
@@ -151,7 +151,7 @@ def _(t):
     return edges.picked_claims(metrics(t), t.live, PERSON).withColumn("turn", F.col("turn").cast("long"))
 
 
-UNDIRECTED_SQL = EDGE_SQL + ", und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(weight), 6) AS weight FROM metric WHERE src <> dst GROUP BY 1, 2), way AS (SELECT src AS x, dst AS y, weight FROM metric WHERE src <> dst UNION ALL SELECT dst, src, weight FROM metric WHERE src <> dst)"
+UNDIRECTED_SQL = EDGE_SQL + ", und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(weight), 6) AS weight FROM metric WHERE src <> dst GROUP BY 1, 2), way AS MATERIALIZED (SELECT src AS x, dst AS y, weight FROM metric WHERE src <> dst UNION ALL SELECT dst, src, weight FROM metric WHERE src <> dst)"
 
 
 @query("b_weighted_degree", UNDIRECTED_SQL + " SELECT entity_id, round(sum(weight), 4) AS weighted_degree, count(*) AS degree FROM (SELECT a AS entity_id, weight FROM und UNION ALL SELECT b, weight FROM und) GROUP BY entity_id")
@@ -498,7 +498,7 @@ def _(t):
     return vectors.representatives(e, vectors.centroids(e))
 
 
-@query("f_cluster_links", CENT_SQL + ", pr AS (SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.c, b.c), 4) AS similarity FROM cent a JOIN cent b ON a.label <> b.label), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM pr) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, similarity FROM r WHERE rank <= 3", model=False)
+@query("f_cluster_links", CENT_SQL + ", pr AS (SELECT a.label AS a, b.label AS b, round(0.5 * list_cosine_similarity(a.c, b.c) + 0.5 * list_dot_product(a.c, b.c), 4) AS similarity FROM cent a JOIN cent b ON a.label <> b.label), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM pr) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, similarity FROM r WHERE rank <= 3", model=False)
 def _(t):
     return vectors.cluster_links(vectors.centroids(t.read("embeddings")))
 

@@ -247,3 +247,93 @@ def test_throttle_is_stateful(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["accepted"] for r in spark.table("throttled").orderBy("event_id").collect()] == [True, False, False, True, False, True]
+
+
+# --- communities, resolution, clusters, books
+
+
+def test_louvain_finds_planted_communities(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = {}
+    for i in range(80):
+        for j in range(i):
+            same = i % 4 == j % 4
+            if rng.random() < (0.5 if same else 0.03):
+                pairs[(f"n{j:02}", f"n{i:02}")] = 1.0
+    g = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a STRING, b STRING, weight DOUBLE")
+    labels = graph.communities(g)
+    found = {r["node"]: r["community"] for r in labels.collect()}
+    groups = {k: {found[n] for n in found if int(n[1:]) % 4 == k} for k in range(4)}
+    assert all(len(v) == 1 for v in groups.values()) and len(set.union(*groups.values())) == 4
+    assert graph.modularity(g, labels).first()[0] > 0.5
+    empty = graph.communities(g.limit(0))
+    assert empty.count() == 0
+
+
+def test_resolution(spark):
+    from quillgraph.operators import entities
+
+    rows = [
+        ("g", 1, 0, 0, "The Queen", "Person", ["Her Majesty"]), ("g", 1, 0, 1, "queen", "Person", None), ("g", 2, 0, 0, "Her Majesty", "Person", []), ("g", 2, 0, 1, "Queen", "Place", None),
+        ("g", 3, 0, 0, "The great battle", "Event", None), ("g", 6, 0, 0, "great battle", "Event", None), ("g", 30, 0, 0, "battle", "Event", None),
+        ("g", 4, 0, 0, "Thornfield", "Place", None), ("g", 5, 0, 0, "Thornfield Hall", "Place", None), ("h", 1, 0, 0, "queen", "Person", None),
+    ]
+    m = spark.createDataFrame(rows, "graph_id STRING, chapter INT, win INT, position INT, name STRING, entity_type STRING, aliases ARRAY<STRING>")
+    got = {(r["graph_id"], r["entity_type"], r["name"]): r["canonical"] for r in entities.resolve(m).collect()}
+    assert got["g", "Person", "queen"] == got["g", "Person", "Her Majesty"] == "The Queen" and got["g", "Place", "Queen"] == "Queen"
+    assert got["g", "Event", "great battle"] == "The great battle" and got["g", "Event", "battle"] == "battle" and got["h", "Person", "queen"] == "queen"
+    assert got["g", "Place", "Thornfield Hall"] == "Thornfield"
+    scaled = {(r["graph_id"], r["entity_type"], r["name"]): r["canonical"] for r in entities.resolve_by_components(m).collect()}
+    assert scaled["g", "Person", "queen"] == scaled["g", "Person", "The Queen"] == "Her Majesty" and scaled["h", "Person", "queen"] == "queen"
+
+
+def test_shaping(spark):
+    from quillgraph.functions import shaping
+
+    def value(c):
+        return spark.range(1).select(c.alias("v")).first()["v"]
+
+    lit = F.lit
+    assert value(shaping.roman_value(lit("mcmxciv"))) == 1994 and value(shaping.roman_value(lit(""))) == 0
+    assert value(shaping.title_case(lit("THE CHILD OF THE CAVERN"))) == "The Child of the Cavern"
+    assert value(shaping.squeezed_cjk(lit("中 国  ab  cd "))) == "中国 ab cd"
+    assert value(shaping.spouse_key(lit("林冲之妻"))) == value(shaping.spouse_key(lit("林冲娘子"))) == "林冲#妻" and value(shaping.spouse_key(lit("林冲"))) is None
+    assert [value(shaping.generic_english(lit(n))) for n in ("the servant", "The man", "Lady", "Lady Anne", "Jo", "J")] == [True, True, True, False, False, True]
+    pieces = value(shaping.long_split(lit("好。" * 500 + "长" * 4000)))
+    assert "".join(pieces) == "好。" * 500 + "长" * 4000 and max(map(len, pieces)) <= 1800
+    assert value(shaping.long_split(lit("short"))) == ["short"]
+    assert value(shaping.titles_match(lit("1.2 Angles ..... 17"), lit("Angles"))) and not value(shaping.titles_match(lit("Ab"), lit("Cd")))
+    assert value(shaping.chapter_list(lit("1-3,7,2"))) == [1, 2, 3, 7]
+    assert value(shaping.unfenced(lit("```json\n{}\n```"))) == "{}"
+    assert [value(shaping.clamped_confidence(lit(x))) for x in ("0.5", "0", "x", "7", "-1")] == [0.5, 0.8, 0.8, 1.0, 0.0]
+    assert value(shaping.entity_title(lit(3), lit("Star"), lit("Nick"), lit("r"), lit("d"))) == "No. 3 Star · Nick"
+    assert value(shaping.entity_title(lit(None).cast("int"), lit(""), lit(""), lit("smith"), lit("d"))) == "smith"
+    assert round(value(shaping.seeded_random(lit(42), lit(1))), 9) == 0.601103752
+
+
+def test_books(spark):
+    from quillgraph.sources import books
+
+    html = "<p class='para-yuanwen'>one</p><p class='para-fanyi'>eins</p><p class='para-yuanwen'>two</p><p class='x para-fanyi'>zwei</p>"
+    got = [(r["no"], r["text"], r["reference"]) for r in books.bilingual(spark.createDataFrame([(1, html), (2, None)], "page_id LONG, html STRING")).orderBy("no").collect()]
+    assert got == [(1, "one", "eins"), (2, "two", "zwei")]
+    lines = [("b", p, x, z) for p in range(5) for x, z in ((f"Book {p}", True), (f"text {p}", False), ("Book 1", False))]
+    kept = books.without_margins(spark.createDataFrame(lines, "book STRING, page INT, line STRING, zone BOOLEAN")).count()
+    assert kept == 10
+
+
+def test_silhouette_and_sub_clusters(spark):
+    import numpy as np
+    from quillgraph.operators import clusters
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.1, (15, 3)) for c in ([1, 0, 0], [0, 1, 0], [0, 0, 1])])
+    v = spark.createDataFrame([(i, r.tolist(), int(i // 15)) for i, r in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>, label INT")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d, labels = 1 - u @ u.T, np.repeat([0, 1, 2], 15)
+    want = np.mean([(min(d[i, labels == o].mean() for o in {0, 1, 2} - {labels[i]}) - d[i, labels == labels[i]].sum() / 14) / max(min(d[i, labels == o].mean() for o in {0, 1, 2} - {labels[i]}), d[i, labels == labels[i]].sum() / 14) for i in range(45)])
+    assert abs(clusters.silhouette(v).first()[0] - want) < 1e-5
+    k, _ = clusters.choose_k(clusters.reduced(v, 3), [2, 3, 4])
+    assert k == 3

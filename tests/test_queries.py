@@ -4,12 +4,14 @@ import __spark_entry__ as entry
 import pytest
 from conftest import SMALL
 from oracle import connect, differences
-from quillgraph.plans import catalogue
+from quillgraph.plans import catalogue, more  # noqa: F401
 
 NAMES = [
     "a_edge_strength_top", "a_claim_dedup", "a_edges", "a_entity_statistics", "a_predicate_rollup", "a_coverage", "a_basis_hash", "a_picked_claims", "b_ego", "b_related", "b_shortest_paths", "b_components",
     "c_r1_reversal", "c_r2_after_death", "c_r4_functional_conflict", "c_m1_inverted", "c_s3_parallel_definitions", "d_review_queue", "d_decisions_folded", "d_files_registered", "e_keywords", "e_located", "e_page_text",
     "f_tiles", "f_drift", "f_centroids", "f_outliers", "f_nearest", "g_flows", "g_time_range", "g_task_counts", "g_top_and_other", "h_tumbling", "h_sliding", "h_sessions", "h_over_limit",
+    "i_roman", "i_names", "i_sizes", "i_jitter", "i_random", "i_times", "i_chapters", "i_headings", "i_clean_claims", "j_resolved", "j_components", "k_silhouette", "k_density", "k_board_sizes", "l_search", "l_missing_notes",
+    "l_mentioned", "m_chapter_cast", "m_lanes", "m_frontier", "m_page_numbers", "m_margins", "m_paragraphs_of_ocr",
 ]
 
 
