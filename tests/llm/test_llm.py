@@ -620,3 +620,29 @@ def test_outputs_replace_columns_of_their_name(spark):
     ]
     for df in found:
         assert [c.lower() for c in df.columns].count("out") == 1 and df.count() == 2 and df.columns[-1].lower() == "out"
+
+
+def test_blocks_join_what_pairs_join(spark, monkeypatch):
+    """Verification in blocks gives the components of pairwise verification."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 4)
+    rng = random.Random(9)
+    v = [f"w{i}" for i in range(300)]
+    base = words(rng, 60, v).split()
+    texts = []
+    for i in range(24):
+        other = list(base if i % 2 else base[::-1])
+        for _ in range(i % 5 + 2):
+            other[rng.randrange(60)] = rng.choice(v)
+        texts.append(" ".join(other))
+    docs = table(spark, texts)
+    nodes = order_minhash.sketched(docs, order_minhash.Sketches(1, 8, 32, 4, 24, 0.8, 1), id_col="doc_id", text_col="text").select("node")
+    known = order_minhash.node_words(docs, nodes, text_col="text")
+    pairs = nodes.select(F.col("node").alias("a")).join(nodes.select(F.col("node").alias("b")), F.col("a") < F.col("b"))
+
+    def classes(links):
+        groups = {}
+        for r in order_minhash.components(links.select("a", "b")).collect():
+            groups.setdefault(bytes(r["component"]), set()).add(bytes(r["node"]))
+        return sorted(map(sorted, groups.values()))
+
+    assert classes(order_minhash.verified_in_blocks(known, pairs, threshold=0.8)) == classes(order_minhash.verified(known, pairs, threshold=0.8)) != []
