@@ -289,7 +289,7 @@ def verified_in_blocks(words: DataFrame, pairs: DataFrame, *, threshold: float)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     blocks = max(1, -(-nodes.count() // BLOCK))
     keyed = pairs.select("a", "b", *(F.pmod(F.xxhash64(x, F.lit(43)), F.lit(blocks)).alias("b" + x) for x in "ab"))
-    needed = keyed.select(F.col("a").alias("node"), "ba", "bb").union(keyed.select(F.col("b").alias("node"), "ba", "bb")).distinct()
+    needed = keyed.select(F.col("a").alias("node"), F.col("ba").alias("ka"), F.col("bb").alias("kb")).union(keyed.select("b", "ba", "bb")).distinct()
 
     def compare(known: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         own = {n: np.frombuffer(w, np.uint32) for n, w in zip(known["node"], known["words"], strict=True)}
@@ -309,7 +309,7 @@ def verified_in_blocks(words: DataFrame, pairs: DataFrame, *, threshold: float)
         return pd.DataFrame(keep, columns=["a", "b", "similarity"])
 
     sent = needed.join(words, "node")
-    return sent.groupBy("ba", "bb").cogroup(keyed.groupBy("ba", "bb")).applyInPandas(compare, "a BINARY, b BINARY, similarity DOUBLE")
+    return sent.groupBy("ka", "kb").cogroup(keyed.groupBy("ba", "bb")).applyInPandas(compare, "a BINARY, b BINARY, similarity DOUBLE")
 
 
 def components(links: DataFrame) -> DataFrame:
