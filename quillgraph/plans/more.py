@@ -157,7 +157,7 @@ def _(t):
 
 
 @query("k_density", UNIT_SQL + """, s AS (SELECT a.vec_id AS id, round(list_dot_product(a.e, b.e), 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 6) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id)
-SELECT id, round(sum(s) / 10, 6) AS density FROM s WHERE r <= 10 GROUP BY id""", model=False)
+SELECT id, round(sum(s) * 1e6) / 1e7 AS density FROM s WHERE r <= 10 GROUP BY id""", model=False)
 def _(t):
     v = t.read("embeddings")
     return clusters.density(v, v)
