@@ -19,8 +19,8 @@ Plan: equal word sequences become one node. Each node is verified against one ot
 (the nodes of one sketch value), so most of a group of copies is linked by one comparison a node; then the nodes of each bucket
 against one of them, a different one in each bucket, unless both are in one class already, which no further link would
 change. Where a bucket still has several components, the nodes outside its main one are compared with all others of
-the bucket, in blocks of both: a histogram of words bounds what two texts can share, and what passes it is aligned, the
-likeliest partners of a node first, then, in blocks of nodes again, all whose nodes are still apart. Connected components are found by
+the bucket, in blocks of both: marks of their occurrence-labelled words bound what two texts can share, and what passes is aligned, the
+likeliest partner of a node first, then, in blocks of nodes again, all whose nodes are still apart. Connected components are found by
 contraction. No bucket is gathered in one task, and nothing is capped. What the sketches don't see
 (a pair that agrees in none of them) isn't linked: by the figures above under one pair in 200 at 0.8, far fewer above it.
 
@@ -48,8 +48,8 @@ from ._common import bounded_batches, give_back, mix, stored, word_hashes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Items hashed at a time, nodes a block of the comparison within buckets, and rows a block of an alignment.
 CHUNK, BLOCK, ROWS = 1 << 15, 256, 512
-#: Hash classes of a node's word histogram.
-MARKS = 256
+#: Bits of a node's marks.
+MARKS = 4096
 #: Most words of short and of tiny texts.
 SHORT, TINY = 64, 14
 
@@ -122,8 +122,9 @@ class Sketches:
         # a text with one word more than a short (tiny) one is near no text below this
         self.least_long, self.least_short = (int(np.ceil(threshold * (x + 1) - 1e-9)) for x in (SHORT, TINY))
 
-    def of(self, w: np.ndarray) -> np.ndarray:
-        n, h, found = len(w), items(w, self.k), []
+    def of(self, w: np.ndarray, single: np.ndarray | None = None) -> np.ndarray:
+        """The sketches of word hashes; ``single`` are their items of one word, if known."""
+        n, h, found = len(w), items(w, self.k) if single is None or self.k != 1 else single, []
         if n >= self.least_long:
             found.append(sketch(h, self.seeds, self.ell))
         if self.least_short <= n <= SHORT:
@@ -133,15 +134,19 @@ class Sketches:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def marks(w: np.ndarray) -> bytes:
-    """How many words fall in each of ``MARKS`` hash classes, a byte each; 255 stands for that or more."""
-    return np.minimum(255, np.bincount((w >> np.uint64(40)).astype(np.int64) % MARKS, minlength=MARKS)).astype(np.uint8).tobytes()
+def marks(h: np.ndarray) -> bytes:
+    """A bit for each of ``MARKS`` hash classes in which one of the items (occurrence-labelled words) falls."""
+    bits = np.zeros(MARKS, bool)
+    bits[(h >> np.uint64(20)).astype(np.int64) % MARKS] = True
+    return np.packbits(bits).tobytes()
 
 
-def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """An upper bound of the words that each row of marks in ``x`` shares with that in ``y``; very large where a class is full."""
-    least = np.minimum(x, y)
-    return least.sum(-1, dtype=np.int64) + (least == 255).any(-1) * (1 << 40)
+def most_shared(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """An upper bound of the items that texts of n and m items share, by their marks (rows of 64-bit numbers).
+
+    Each class that only one of them has holds an item of its that the other lacks.
+    """
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
 
 
 def codes(w: np.ndarray) -> np.ndarray:
@@ -232,7 +237,8 @@ def sketched(docs: DataFrame, sketches: Sketches, *, id_col: str, text_col: str)
                 if key is None or key not in seen:
                     if len(seen) > 2000:
                         seen.clear()
-                    seen[key] = len(w), sketches.of(w), marks(w)
+                    single = items(w, 1)
+                    seen[key] = len(w), sketches.of(w, single), marks(single)
                 rows.append((key, *seen[key]))
             flat = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)])
             values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)), pa.array(flat))
@@ -375,13 +381,13 @@ def near_duplicates(
     labels = with_links(labels, stored(verified(words, between(pairs, labels), threshold=threshold), "omh-verified"))
     rest = stored(unsettled(members, labels, nodes, threshold), "omh-rest")
     # the likeliest partners first: once one of them links two components, what else lies between them needs no look
-    for width in (1, 8, None):
+    for first_look in (True, False):
         if not rest.limit(1).count():
             break
-        some = likeliest(rest, width) if width else rest
-        check = verified if width else verified_in_blocks
+        some = likeliest(rest) if first_look else rest
+        check = verified if first_look else verified_in_blocks
         labels = with_links(labels, stored(check(words, unordered(some), threshold=threshold), "omh-more"))
-        if width:
+        if first_look:
             rest = stored(between(rest.join(some, ["a", "b"], "left_anti"), labels, "same"), "omh-rest")
     grouped = known.select("doc_id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = grouped.where(F.col("component").isNotNull()).groupBy("component", "node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
@@ -392,10 +398,9 @@ def near_duplicates(
     )
 
 
-def likeliest(pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b): for each a, in each of ``width`` hash classes of b, the pair that agrees in most sketches."""
-    best = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(width)).alias("part")).agg(F.max(F.struct("same", "b"))["b"].alias("b"))
-    return best.select("a", "b")
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each a the pair that agrees in most sketches."""
+    return pairs.groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b"))
 
 
 def unordered(pairs: DataFrame) -> DataFrame:
@@ -412,7 +417,7 @@ def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold
     """(a, b, same): pairs from buckets with several components, a outside the bucket's main one; ``same`` is in how many of these buckets they meet.
 
     A bucket is dealt into blocks of nodes by hash; each group of the comparison holds one block of probes and one of targets.
-    A pair is given only if the words that the histograms let its nodes share could be enough for the threshold.
+    A pair is given only if the words that the marks let its nodes share could be enough for the threshold.
     """
     # a node without a link is a component of its own
     own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -433,11 +438,11 @@ def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold
         n, m = probe["n"].to_numpy()[:, None], target["n"].to_numpy()[None, :]
         good = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (probe["component"].to_numpy()[:, None] != target["component"].to_numpy()[None, :])
         i, j = np.nonzero(good)
-        x, y = (np.frombuffer(b"".join(side["marks"]), np.uint8).reshape(-1, MARKS) for side in (probe, target))
+        x, y = (np.frombuffer(b"".join(side["marks"]), np.uint64).reshape(-1, MARKS // 64) for side in (probe, target))
         found = []
         for at in range(0, len(i), 1 << 14):
             a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            bound = most_shared(x[a], y[b])
+            bound = most_shared(x[a], y[b], n[a, 0], m[0, b])
             can = bound >= threshold * (n[a, 0] + m[0, b] - bound) - 1e-6
             found.append((a[can], b[can]))
         i, j = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, int) for s in (0, 1))

@@ -477,13 +477,15 @@ def test_long_texts_are_scored_in_stretches(monkeypatch):
     assert masked_lm.log_likelihood(model, w) == pytest.approx(whole, rel=1e-6)
 
 
-def test_histograms_bound_what_two_texts_share():
+def test_marks_bound_what_two_texts_share():
     rng = np.random.default_rng(3)
     for n in (1, 5, 200, 60_000):  # the last fills classes
         a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         b = np.union1d(a[: len(a) // 2], rng.integers(0, 1 << 62, n).astype(np.uint64))
-        x, y = (np.frombuffer(order_minhash.marks(h), np.uint8)[None, :] for h in (a, b))
-        assert order_minhash.most_shared(x, y)[0] >= len(np.intersect1d(a, b))
+        x, y = (np.frombuffer(order_minhash.marks(h), np.uint64)[None, :] for h in (a, b))
+        bound, shared = order_minhash.most_shared(x, y, np.array([len(a)]), np.array([len(b)]))[0], len(np.intersect1d(a, b))
+        assert shared <= bound <= min(len(a), len(b))
+        assert n > 200 or bound <= shared + 0.2 * n  # texts of usual length are told apart
 
 
 # --- plain versions of what is learned
