@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, masked_lm, order_minhash, packing, quality, toxicity, transport_stream, url_filter
+from . import chat, decontaminate, language_id, masked_lm, order_minhash, packing, quality, substring_dedup, toxicity, transport_stream, url_filter
 from ._common import residue, stored
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -102,6 +102,11 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.score(docs, masked_lm.fit(docs), out="lm").select("doc_id", "lm.n_words", "lm.log_likelihood", "lm.mean_log_likelihood")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP3_SQL = r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -129,8 +134,8 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op2_toxicity, op3_decontaminate, op4_url_filter, op5_quality, op6_near_duplicates, op7_language_id, op8_chat, op9_packing, op10_masked_lm)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_toxicity, op3_decontaminate, op4_url_filter, op5_quality, op6_near_duplicates, op7_language_id, op8_chat, op9_packing, op10_masked_lm, op11_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op8_chat": chat.ORACLE_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op8_chat": chat.ORACLE_SQL, "op11_substring_dedup": substring_dedup.ORACLE_SQL}
