@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, masked_lm, order_minhash, packing, quality, substring_dedup, toxicity, transport_stream, url_filter
+from . import chat, decontaminate, hard_negatives, language_id, masked_lm, order_minhash, packing, quality, substring_dedup, toxicity, transport_stream, url_filter, vector_codes
 from ._common import residue, stored
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -107,6 +107,19 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors)
+    coded = stored(vector_codes.encode(vectors, books, out="coded").select("vec_id", "label", "coded.code", "coded.error"), "codes")
+    return vector_codes.with_label_error(coded).drop("label").withColumn("codebooks_sha256", F.lit(books.digest()))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 OP3_SQL = r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -134,8 +147,8 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op2_toxicity, op3_decontaminate, op4_url_filter, op5_quality, op6_near_duplicates, op7_language_id, op8_chat, op9_packing, op10_masked_lm, op11_substring_dedup)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_toxicity, op3_decontaminate, op4_url_filter, op5_quality, op6_near_duplicates, op7_language_id, op8_chat, op9_packing, op10_masked_lm, op11_substring_dedup, op12_vector_codes, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op8_chat": chat.ORACLE_SQL, "op11_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op8_chat": chat.ORACLE_SQL, "op11_substring_dedup": substring_dedup.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
