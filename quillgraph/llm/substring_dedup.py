@@ -9,12 +9,13 @@ edge that starts in a document with a smaller id is a repeat, and the words that
 2. Nonbranching stretches within a document. Consecutive candidate edges are cut where the edge's hash says so (one in
    ``cut_one_in``): every document cuts the same words at the same places. A stretch is one row with the digest of all its
    words; equal stretches are matched whole by a join, and the later ones are decided.
-3. Compaction of the rest. Edges of stretches that came first are joined with each other word for word. Nodes with one repeated
-   edge in and one out don't branch; a join of edges with the degrees of their nodes compacts them into paths of consecutive
-   source coordinates, and what a document has of a path becomes one span.
-4. Spans are verified against the words at the path's source coordinates, and go to their documents.
+3. Compaction of the rest. Edges of stretches that came first, or whose stretch is nowhere else, are joined with each other. Nodes
+   with one repeated edge in and one out don't branch; a join of edges with the degrees of their nodes compacts them into paths of
+   consecutive source coordinates.
+4. An edge is a repeat if the edge at the source's coordinates agrees in a second, independent hash too (128 bits in all);
+   what a document has of a path in consecutive places is one span. Spans go to their documents.
 
-The words of a document are compared, not hashes: a hash only proposes (64 bits), md5 of all words decides stretches.
+A hash of 64 bits only proposes; md5 of all words (stretches) or 128 bits (edges) decide.
 
 Edge cases: a null or empty text has no words; a text of fewer words than a window has no edges; a null id counts as larger
 than any other and never as smaller; rows with one id are one document for the comparison, so they remove nothing from each other,
@@ -39,6 +40,7 @@ BLANKS = np.array([b in (32, 9, 10, 11, 12, 13) for b in range(256)])
 _RANDOM = np.random.default_rng(53)
 _BYTE_CODES = _RANDOM.integers(1, 1 << 63, 256).astype(np.uint64)
 _PLACE_CODES = _RANDOM.integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
+_CHECK_CODES = _RANDOM.integers(1, 1 << 63, 256).astype(np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that a task of step 1 holds before it looks for repeats among them.
 HELD_ROWS = 2_000_000
@@ -66,12 +68,13 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # the number of each document's first word
         self._bytes = b
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
+        """One for each word; sums of byte codes times place codes."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         b, sizes = self._bytes, self.ends - self.starts
         place = np.arange(len(b)) - np.repeat(np.concatenate([[0], self.starts]), np.diff(np.concatenate([[0], self.starts, [len(b)]])))
-        codes = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[b] * _PLACE_CODES[place & 255], dtype=np.uint64)])
+        codes = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[b] * _PLACE_CODES[place & 255], dtype=np.uint64)])
         return mix(codes[self.ends] - codes[self.starts] + sizes.astype(np.uint64))
 
     def text(self, first: int, past: int) -> bytes:
@@ -229,34 +232,33 @@ def smaller(first: str, doc: str) -> Column:
 
 
 def edges(open_stretches: DataFrame, window: int) -> DataFrame:
-    """(doc, body, at, code, head, tail, words): every edge of the stretches, with its nodes."""
+    """(doc, body, at, code, check, head, tail): every edge of the stretches, with two independent hashes of its words, and its nodes."""
     kind = open_stretches.schema["doc"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = Words(b.column(3))
             h = w.hashes()
-            code, node = grams(h, window), grams(h, window - 1)
+            code, check, node = grams(h, window), grams(w.hashes(_CHECK_CODES), window), grams(h, window - 1)
             keep = np.flatnonzero(w.doc[: len(code)] == w.doc[window - 1 :]) if len(code) else np.zeros(0, np.int64)
-            for k in range(0, len(keep), 20_000):
-                at = keep[k : k + 20_000]
+            for k in range(0, len(keep), 100_000):
+                at = keep[k : k + 100_000]
                 of = w.doc[at]
                 i = pa.array(of)
-                texts = [bytes(w.data[x:y]) for x, y in zip(w.starts[at].tolist(), w.ends[at + window - 1].tolist(), strict=True)]
                 place = b.column(2).to_numpy()[of] + at - w.first[of]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(place, pa.int64()), pa.array(code[at].view(np.int64)), pa.array(node[at].view(np.int64)), pa.array(node[at + 1].view(np.int64)), pa.array(texts, pa.binary())], names=["doc", "body", "at", "code", "head", "tail", "words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), *(pa.array(x.view(np.int64)) for x in (place, code[at], check[at], node[at], node[at + 1]))], names=["doc", "body", "at", "code", "check", "head", "tail"])
         give_back()
 
     bounded_batches(open_stretches.sparkSession)
-    return open_stretches.select("doc", "body", "start", "words").mapInArrow(split, f"doc {kind}, body LONG, at LONG, code LONG, head LONG, tail LONG, words BINARY")
+    return open_stretches.select("doc", "body", "start", "words").mapInArrow(split, f"doc {kind}, body LONG, at LONG, code LONG, check LONG, head LONG, tail LONG")
 
 
 def compacted(shared: DataFrame) -> DataFrame:
-    """(words, source, path, offset): the distinct edges in nonbranching paths of consecutive places of their first document.
+    """(code, check, source, path_at, offset): the distinct edges in nonbranching paths of consecutive places of their first document.
 
-    ``source`` is the first place (id, body, at) of an edge, ``path`` that of the path's first edge, ``offset`` the edge's number in it.
+    ``source`` is the first place (id, body, at) of an edge, ``path_at`` where in that text its path begins, ``offset`` the edge's number in it.
     """
-    distinct = stored(shared.groupBy("words").agg(F.min(F.struct(F.col("doc").isNull().alias("absent"), "doc", "body", "at")).alias("source"), F.first("head").alias("head"), F.first("tail").alias("tail")), "graph-edges")
+    distinct = stored(shared.groupBy("code", "check").agg(F.min(F.struct(F.col("doc").isNull().alias("absent"), "doc", "body", "at")).alias("source"), F.first("head").alias("head"), F.first("tail").alias("tail")), "graph-edges")
     ends = distinct.select(F.col("tail").alias("node"), F.lit(1).alias("enter"), F.lit(0).alias("leave"), "source").unionByName(distinct.select(F.col("head").alias("node"), F.lit(0).alias("enter"), F.lit(1).alias("leave"), F.lit(None).cast(distinct.schema["source"].dataType).alias("source")))
     nodes = ends.groupBy("node").agg(F.sum("enter").alias("enter"), F.sum("leave").alias("leave"), F.min("source").alias("before"))
     joined = distinct.join(nodes, distinct["head"] == nodes["node"], "left")
@@ -265,35 +267,37 @@ def compacted(shared: DataFrame) -> DataFrame:
     along = Window.partitionBy("source.doc", "source.body").orderBy("source.at")
     opens = F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.col("source.at"))
     marked = joined.withColumn("path_at", F.last(opens, ignorenulls=True).over(along))
-    return marked.select("words", "source", F.col("path_at"), (F.col("source.at") - F.col("path_at")).alias("offset"))
+    return marked.select("code", "check", "source", F.col("path_at"), (F.col("source.at") - F.col("path_at")).alias("offset"))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6, cut_one_in: int = 16) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, cut_one_in: int = 8) -> DataFrame:
     """(doc, body, spans): for each row that loses words, its id, the xxhash64 of its text, and structs (first, past) of word numbers."""
     gram = max(1, min(gram, window - 1))
     rows = docs.select(F.col(id_col).alias("doc"), salt(text_col).alias("salt"), F.col(text_col).alias("text")).where(F.octet_length("text") >= 2 * window - 1)
-    found = stored(stretches(rows, candidates(rows, window, gram), window, cut_one_in), "stretches")
+    places = stored(candidates(rows, window, gram), "candidate-edges")
+    found = stored(stretches(rows, places, window, cut_one_in), "stretches")
     firsts = found.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc").alias("first_doc"))
     judged = found.join(firsts, F.col("digest") == F.col("_digest")).withColumn("late", smaller("first_doc", "doc"))
-    judged = stored(judged.select("doc", "body", "start", "edges", "late", F.when(~F.col("late"), F.col("words")).alias("words")).distinct(), "judged")
+    judged = stored(judged.select("doc", "body", "start", "edges", "late", F.when(~F.col("late"), F.col("words")).alias("words")), "judged")
     span = F.struct(F.col("start").alias("first"), (F.col("start") + F.col("edges") + window - 1).alias("past"))
     whole = judged.where("late").select("doc", "body", span.alias("span"))
 
     every = edges(judged.where("NOT late"), window)
     codes = every.groupBy(F.col("code").alias("_code")).agg(F.min("doc").alias("_low"), F.max("doc").alias("_high"), F.count(F.lit(1)).alias("_n"), F.count("doc").alias("_named"))
-    codes = codes.where("_low < _high OR (_named > 0 AND _n > _named)").select("_code")
+    codes = stored(codes.where("_low < _high OR (_named > 0 AND _n > _named)").select("_code"), "shared-codes")
     shared = stored(every.join(codes, F.col("code") == F.col("_code"), "left_semi"), "shared-edges")
-    paths = compacted(shared).select(F.col("words").alias("_words"), "source", "path_at", "offset")
-    # equal words at the source's place: what a document has of a path, in consecutive places, is a span
-    on = shared.join(paths, F.col("words") == F.col("_words")).select("doc", "body", "at", "source", "path_at", "offset")
+    paths = compacted(shared).select(F.col("code").alias("_code"), F.col("check").alias("_check"), "source", "path_at", "offset")
+    # both hashes agree at the source's place: what a document has of a path, in consecutive places, is a span
+    on = shared.join(paths, (F.col("code") == F.col("_code")) & (F.col("check") == F.col("_check"))).select("doc", "body", "at", "source", "path_at", "offset")
     on = on.where(F.col("source.doc").isNotNull() & (F.col("doc").isNull() | (F.col("source.doc") < F.col("doc"))))
     diagonal = Window.partitionBy("doc", "body", "source.doc", "source.body", "path_at", F.col("at") - F.col("offset")).orderBy("at")
     islands = on.withColumn("island", F.col("at") - F.row_number().over(diagonal)).groupBy("doc", "body", F.col("source.doc").alias("source_doc"), F.col("source.body").alias("source_body"), "path_at", "island")
     pieces = islands.agg(F.min("at").alias("first"), (F.max("at") + window).alias("past")).select("doc", "body", F.struct("first", "past").alias("span"))
+    pieces = stored(pieces, "spans")
     return whole.unionByName(pieces).groupBy("doc", "body").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6, cut_one_in: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, cut_one_in: int = 8) -> DataFrame:
     """(id, n_words, n_removed, spans, kept): every row with the words that stay, joined by one blank; a repeated row comes as often as it occurs."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, gram=gram, cut_one_in=cut_one_in)
