@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import codes, shaping
-from quillgraph.operators import clusters, edges, entities, graph, notes, vectors
+from quillgraph.operators import clusters, contain, edges, entities, graph, notes, vectors
 from quillgraph.plans.catalogue import EDGE_SQL, OTHER, PERSON, metrics, metrics_table, query
 from quillgraph.plans.storage import stored
 from quillgraph.sources import books
@@ -132,6 +132,27 @@ def _(t):
     return entities.resolve(mentions(t)).select("graph_id", "position", "name", "canonical", "entity_id")
 
 
+@query("j_aliases", """WITH RECURSIVE c AS (SELECT p_brand AS g, p_name AS n, p_type AS a, min(struct_pack(ch := p_size, pos := p_partkey)) AS o FROM part GROUP BY ALL),
+k AS (SELECT g, o, 1 AS t, lower(n) AS key FROM c UNION ALL SELECT g, o, 2, lower(a) FROM c), f AS (SELECT g, key, min(o) AS fo FROM k GROUP BY ALL),
+p AS (SELECT g, o, arg_min(fo, t) AS po FROM k JOIN f USING (g, key) WHERE fo < o GROUP BY g, o),
+up AS (SELECT g, o, o AS r FROM c UNION ALL SELECT up.g, up.o, p.po FROM up JOIN p ON p.g = up.g AND p.o = up.r), top AS (SELECT g, o, min(r) AS r FROM up GROUP BY g, o)
+SELECT p_brand AS graph_id, CAST(p_partkey AS INTEGER) AS position, root.n AS canonical, 'e_' || substr(sha1(p_brand || ':Item:' || root.n), 1, 12) AS entity_id
+FROM part JOIN c ON c.g = p_brand AND c.n = p_name AND c.a = p_type JOIN top ON top.g = c.g AND top.o = c.o JOIN c root ON root.g = top.g AND root.o = top.r""", model=False)
+def _(t):
+    """Parts of a brand that share a type lead to one another through their aliases: long chains, one graph over all tasks."""
+    p = t.read("part")
+    said = p.select(F.col("p_brand").alias("graph_id"), F.col("p_size").alias("chapter"), F.lit(0).alias("win"), F.col("p_partkey").cast("int").alias("position"), F.col("p_name").alias("name"), F.lit("Item").alias("entity_type"), F.array("p_type").alias("aliases"))
+    return entities.resolve(said).select("graph_id", "position", "canonical", "entity_id")
+
+
+@query("j_quoted", "WITH q AS (SELECT item_id, lower(substr(\"text\", 1, 24)) AS s FROM benchmark) SELECT item_id, doc_id FROM q JOIN documents ON contains(lower(\"text\"), s) WHERE s <> ''", model=False)
+def _(t):
+    """Beginnings of benchmark items, wherever they stand in a document."""
+    start = t.read("benchmark").select(F.col("item_id").alias("id"), F.lower(F.substring("text", 1, 24)).alias("text"))
+    found = contain.contained(start, t.read("documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), gram=12)
+    return found.select(F.col("needle_id").alias("item_id"), F.col("hay_id").alias("doc_id"))
+
+
 @query("j_components", """WITH m AS (SELECT DISTINCT p_brand AS graph_id, CASE WHEN p_size % 2 = 0 THEN 'The ' ELSE '' END || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, lower(p_name) AS k FROM part)
 SELECT graph_id, name, min(name) OVER (PARTITION BY graph_id, k) AS canonical FROM m""", model=False)
 def _(t):
