@@ -7,11 +7,12 @@ Only piece lengths are shuffled for the packing. A group is a hash class of (id,
 ``group_docs`` documents however the table is ordered and however often an id comes, and every group is packed by itself.
 
 Edge cases: a null or empty text is the end-of-document id alone; a null id packs like any other; repeated rows are packed
-as often as they occur, and pieces of equal length go by id, start and content; an empty table gives no pieces; extra columns are ignored.
+as often as they occur (a text of any length is cut into pieces), and pieces of equal length go by id, start and content; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -50,9 +51,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(tokenizer_path, encoding="utf-8") as f:
             said = json.load(f)
+        # a text with the string of an added token goes to the tokenizer as it is
+        added = [re.escape(t["content"]) for t in said.get("added_tokens") or () if t.get("content")]
+        self.odd = "|".join([ODD, *added])
         kind = said.get("pre_tokenizer") or {}
         self.plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not said.get("normalizer")
         self.words: dict[str, bytes] = {"": b""}  # without the blank before them
@@ -65,11 +68,11 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
-        """The ids of each text. Texts with runs of white space at a blank go to the tokenizer as they are."""
+        """The ids of each text. Texts with runs of white space at a blank, or with an added token, go to the tokenizer as they are."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if not self.plain:
             return self.direct(texts.to_pylist())
-        odd = pc.match_substring_regex(texts, ODD)
+        odd = pc.match_substring_regex(texts, self.odd)
         even = iter(self.by_words(texts.filter(pc.invert(odd))))
         whole = iter(self.direct(texts.filter(odd).to_pylist()))
         return [next(whole if x else even) for x in odd.to_pylist()]
