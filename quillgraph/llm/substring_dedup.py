@@ -276,8 +276,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc"), salt(text_col).alias("salt"), F.col(text_col).alias("text")).where(F.octet_length("text") >= 2 * window - 1)
     places = stored(candidates(rows, window, gram), "candidate-edges")
     found = stored(stretches(rows, places, window, cut_one_in), "stretches")
-    firsts = found.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc").alias("first_doc"))
-    judged = found.join(firsts, F.col("digest") == F.col("_digest")).withColumn("late", smaller("first_doc", "doc"))
+    # stored, so that the join has a shuffle of its own for each side and Spark can split a frequent stretch
+    firsts = stored(found.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-stretches")
+    judged = found.join(firsts, F.col("digest") == F.col("_digest"), "left").withColumn("late", smaller("first_doc", "doc"))
     judged = stored(judged.select("doc", "body", "start", "edges", "late", F.when(~F.col("late"), F.col("words")).alias("words")), "judged")
     span = F.struct(F.col("start").alias("first"), (F.col("start") + F.col("edges") + window - 1).alias("past"))
     whole = judged.where("late").select("doc", "body", span.alias("span"))
