@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.plans.storage import stored
+
 EDGE = ["src", "predicate", "dst"]
 
 
@@ -41,7 +43,7 @@ def co_mentions(pairs: DataFrame, appearances: DataFrame) -> DataFrame:
 
     The units of an entity are one array (as many values as there are units), so pairs meet two rows and aren't multiplied.
     """
-    units = appearances.groupBy("entity_id").agg(F.collect_set("ch").alias("units"))
+    units = stored(appearances.groupBy("entity_id").agg(F.collect_set("ch").alias("units")), "entity-units")
     a, b = (units.select(F.col("entity_id").alias(end), F.col("units").alias(f"{end}_units")) for end in ("src", "dst"))
     met = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst")
     return met.select("src", "dst", F.size(F.array_intersect("src_units", "dst_units")).cast("long").alias("co_mention")).where("co_mention > 0")
@@ -62,12 +64,15 @@ def cumulative_share(df: DataFrame, value: str, out: str, scale: int = 1000) ->
 
 
 def edge_metrics(claims: DataFrame, appearances: DataFrame) -> DataFrame:
-    """Edges with their strength: claim, unit and co-mention counts, mean confidence, and the percentile of their combination as weight."""
-    e = edges(claims)
+    """Edges with their strength: claim, unit and co-mention counts, mean confidence, and the percentile of their combination as weight.
+
+    Aggregated edges, the units of entities and the scores are written once each, so claims are read once and appearances once.
+    """
+    e = stored(edges(claims), "edges")
     co = co_mentions(e, appearances)
     e = e.join(co, ["src", "dst"], "left").withColumns({"co_mention": F.coalesce("co_mention", F.lit(0)), "archive_count": F.size("chapters")})
     raw = F.log1p("support_count") + 1.2 * F.log1p("archive_count") + 0.5 * F.log1p("co_mention") + F.col("confidence_avg")
-    e = cumulative_share(e.withColumn("raw", F.round(raw, 9)), "raw", "share")
+    e = cumulative_share(stored(e.withColumn("raw", F.round(raw, 9)), "edges-scored"), "raw", "share")
     return e.select(*EDGE, F.col("support_count").alias("claim_count"), "archive_count", "co_mention", F.round("confidence_avg", 4).alias("confidence_avg"), "confidence", "first_chapter", "last_chapter", F.round("share", 4).alias("weight"))
 
 

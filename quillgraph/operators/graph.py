@@ -98,7 +98,7 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def cycles(directed: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+def cycles(directed: DataFrame) -> DataFrame:
     """(node, component) of the strongly connected components with more than one node.
 
     Forward-backward trimming: nodes without a predecessor or successor in what is left can't be on a cycle and go; labels then
@@ -107,7 +107,7 @@ def cycles(directed: DataFrame, most_rounds: int = 1_000) -> DataFrame:
     """
     rest = stored(directed.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
     done: DataFrame | None = None
-    for _ in range(most_rounds):
+    while True:  # the smallest node that is left finds its component in each round
         while True:  # trim
             before = rest.count()
             kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -143,12 +143,12 @@ def _spread(edges: DataFrame, tail: str, head: str) -> DataFrame:
             return labels
 
 
-def communities(graph: DataFrame, rounds: int = 8, levels: int = 10, least_gain: float = 1e-3) -> DataFrame:
+def communities(graph: DataFrame) -> DataFrame:
     """(node, community) by Louvain (resolution 1) over an undirected graph (a, b, weight); a community is named by one of its nodes.
 
-    In a level, nodes move to the neighbouring community with the largest gain in modularity, until fewer than one in a hundred would, or ``rounds`` are
-    over; communities then become the nodes of the next level, until the modularity grows by less than ``least_gain``. All moves of a round
-    are made at once, so half of the nodes, by a hash that changes with the round, may move in it: two ends of an edge seldom
+    In a level, nodes move to the neighbouring community with the largest gain in modularity until none would, or until
+    four rounds in a row have left no fewer that would (moves that undo each other); communities then become the nodes of the next level, until the
+    modularity doesn't grow. All moves of a round are made at once, so half of the nodes, by a hash that changes with the round, may move in it: two ends of an edge seldom
     swap. Deterministic; ties go to the smaller name. Everything is a join or a sum by node and community.
     """
     edges = graph.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
@@ -156,28 +156,29 @@ def communities(graph: DataFrame, rounds: int = 8, levels: int = 10, least_gain:
     links = stored(links.withColumn("weight", F.col("weight").cast("double")), "louvain-links")
     total = links.agg(F.sum("weight")).first()[0] or 0.0  # twice the weight of all edges
     labels = stored(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "louvain-labels")
-    before = -1.0
-    for level in range(levels if total else 0):
-        moved = _moved(links, total, rounds, level)
+    before, level = -1.0, 0
+    while total:
+        moved = _moved(links, total, level)
         ca, cb = (moved.select(F.col("node").alias(x), F.col("community").alias("c" + x)) for x in "ab")
         merged = links.join(ca, "a").join(cb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight"))
         merged = stored(merged, "louvain-links")
         degree = merged.groupBy("a").agg(F.sum("weight").alias("d"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inner"))
         now = degree.agg(F.sum(F.col("inner") / total - F.col("d") * F.col("d") / (total * total))).first()[0]
-        if now - before < least_gain:
+        if now - before < 1e-9:  # sums in another order differ by less
             break
         up = moved.select(F.col("node").alias("community"), F.col("community").alias("higher"))
         labels = stored(labels.join(up, "community").select("node", F.col("higher").alias("community")), "louvain-labels")
-        links, before = merged, now
+        links, before, level = merged, now, level + 1
     return labels
 
 
-def _moved(links: DataFrame, total: float, rounds: int, level: int) -> DataFrame:
+def _moved(links: DataFrame, total: float, level: int) -> DataFrame:
     """(node, community) after the moves of one level; ``links`` (a, b, weight) hold both directions, and loops."""
     degree = stored(links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "louvain-degree")
     labels = degree.select("node", "k", F.col("node").alias("community"))
     between = links.where("a <> b")
-    for r in range(rounds):
+    fewest, since, r = None, 0, 0
+    while True:
         sums = labels.groupBy("community").agg(F.sum("k").alias("all"))
         near = between.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("to"))
         own = labels.select("node", "community", F.lit(0.0).alias("to"))  # to stay is a choice as well
@@ -190,7 +191,9 @@ def _moved(links: DataFrame, total: float, rounds: int, level: int) -> DataFrame
         new = best.select("node", "k", "old", F.when(turn, F.col("best.community")).otherwise(F.col("old")).alias("community"), (F.col("best.community") != F.col("old")).alias("wish"))
         new = stored(new, "louvain-moves")
         labels = new.select("node", "k", "community")
-        if new.agg(F.avg(F.col("wish").cast("int"))).first()[0] < 0.01:
+        wishes, r = new.where("wish").count(), r + 1
+        fewest, since = (wishes, 0) if fewest is None or wishes < fewest else (fewest, since + 1)
+        if not wishes or since == 4:
             break
     return labels.select("node", "community")
 

@@ -151,7 +151,7 @@ def _(t):
     return edges.picked_claims(metrics(t), t.live, PERSON).withColumn("turn", F.col("turn").cast("long"))
 
 
-UNDIRECTED_SQL = EDGE_SQL + ", und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(weight), 6) AS weight FROM metric WHERE src <> dst GROUP BY 1, 2), way AS MATERIALIZED (SELECT src AS x, dst AS y, weight FROM metric WHERE src <> dst UNION ALL SELECT dst, src, weight FROM metric WHERE src <> dst)"
+UNDIRECTED_SQL = EDGE_SQL + ", und AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(weight), 6) AS weight FROM metric WHERE src <> dst GROUP BY 1, 2), way AS MATERIALIZED (SELECT src AS x, dst AS y, weight FROM metric WHERE src <> dst UNION ALL SELECT dst, src, weight FROM metric WHERE src <> dst)"
 
 
 @query("b_weighted_degree", UNDIRECTED_SQL + " SELECT entity_id, round(sum(weight), 4) AS weighted_degree, count(*) AS degree FROM (SELECT a AS entity_id, weight FROM und UNION ALL SELECT b, weight FROM und) GROUP BY entity_id")
@@ -170,9 +170,9 @@ def _(t):
     return statistics(t).where("claim_count > 0").select("entity_id", "name", "claim_count").orderBy(F.desc("claim_count"), "entity_id").limit(300)
 
 
-EGO_SQL = UNDIRECTED_SQL + f""", h1 AS (SELECT y AS entity_id, 1 AS hop, round(sum(weight), 4) AS strength FROM way WHERE x = '{PERSON}' AND y <> '{PERSON}' GROUP BY y ORDER BY strength DESC, y LIMIT 99),
-h2 AS (SELECT y AS entity_id, 2 AS hop, round(sum(weight), 4) AS strength FROM way JOIN h1 ON x = h1.entity_id WHERE y <> '{PERSON}' AND y NOT IN (SELECT entity_id FROM h1) GROUP BY y ORDER BY strength DESC, y LIMIT (SELECT 99 - count(*) FROM h1)),
-near AS (SELECT '{PERSON}' AS entity_id, 0 AS hop, CAST(0 AS DOUBLE) AS strength UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
+EGO_SQL = UNDIRECTED_SQL + f""", h1 AS MATERIALIZED (SELECT y AS entity_id, 1 AS hop, round(sum(weight), 4) AS strength FROM way WHERE x = '{PERSON}' AND y <> '{PERSON}' GROUP BY y ORDER BY strength DESC, y LIMIT 99),
+h2 AS MATERIALIZED (SELECT y AS entity_id, 2 AS hop, round(sum(weight), 4) AS strength FROM way JOIN h1 ON x = h1.entity_id WHERE y <> '{PERSON}' AND y NOT IN (SELECT entity_id FROM h1) GROUP BY y ORDER BY strength DESC, y LIMIT (SELECT 99 - count(*) FROM h1)),
+near AS MATERIALIZED (SELECT '{PERSON}' AS entity_id, 0 AS hop, CAST(0 AS DOUBLE) AS strength UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
 
 
 @query("b_ego", EGO_SQL + " SELECT * FROM near")

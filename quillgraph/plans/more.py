@@ -192,7 +192,7 @@ def _(t):
 @query("k_chosen")
 def _(t):
     v = stored(clusters.reduced(t.read("embeddings").select("vec_id", "embedding"), 16), "reduced")
-    k, found = clusters.choose_k(v, [6, 8, 10])
+    k, found = clusters.choose_k(v, clusters.k_range(v.count()))
     return t.spark.createDataFrame([(n, s, n == k) for n, s in found.items()], "k INT, silhouette DOUBLE, chosen BOOLEAN")
 
 
@@ -225,16 +225,29 @@ def _(t):
 # --- l: notes and answers
 
 
-@query("l_search", """WITH lex AS (SELECT doc_id AS id, 0 AS kind, CAST(doc_id AS DOUBLE) AS ord FROM documents WHERE contains(coalesce("text", ''), 'rights reserved')),
-q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), sem AS (SELECT vec_id AS id, 1 AS kind, -round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS ord FROM embeddings, q WHERE vec_id <> 0 ORDER BY ord, id LIMIT 20),
-every AS (SELECT * FROM lex UNION ALL SELECT * FROM sem WHERE id NOT IN (SELECT id FROM lex)) SELECT id, CASE kind WHEN 0 THEN 'words' ELSE 'meaning' END AS found_by FROM every ORDER BY kind, ord, id LIMIT 20""", model=False)
-def _(t):
-    lexical = t.read("documents").where(F.contains(F.coalesce("text", F.lit("")), F.lit("rights reserved"))).select(F.col("doc_id").alias("id"))
-    e = t.read("embeddings")
-    semantic = vectors.nearest(e, e.where("vec_id = 0"), 20).select("id", "similarity")
+SEARCH_SQL = """WITH d AS (SELECT doc_id AS id, "text", embedding AS e FROM documents JOIN embeddings ON vec_id = doc_id), lex AS (SELECT id, 0 AS kind, CAST(id AS DOUBLE) AS ord FROM d WHERE contains(coalesce("text", ''), '{words}')),
+sem AS (SELECT d.id, 1 AS kind, -round(list_cosine_similarity(CAST(d.e AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) AS ord FROM d, d q WHERE q.id = 0 AND d.id <> 0 ORDER BY ord, d.id LIMIT 20),
+every AS (SELECT * FROM lex UNION ALL SELECT * FROM sem WHERE id NOT IN (SELECT id FROM lex) AND (SELECT count(*) FROM lex) < 3) SELECT id, CASE kind WHEN 0 THEN 'words' ELSE 'meaning' END AS found_by FROM every ORDER BY kind, ord, id LIMIT 20"""
+
+
+def searched(t, words: str):
+    """Documents that have a vector: those with the words and, if these are fewer than three, those near document 0."""
+    d = t.read("documents").join(t.read("embeddings"), F.col("vec_id") == F.col("doc_id")).select(F.col("doc_id").alias("vec_id"), "text", "embedding")
+    lexical = d.where(F.contains(F.coalesce("text", F.lit("")), F.lit(words))).select(F.col("vec_id").alias("id"))
+    semantic = vectors.nearest(d, d.where("vec_id = 0"), 20).select("id", "similarity")
     return notes.hybrid(lexical, semantic, 20)
 
 
+@query("l_search", SEARCH_SQL.format(words="rights reserved"), model=False)
+def _(t):
+    return searched(t, "rights reserved")
+
+
+@query("l_search_rare", SEARCH_SQL.format(words="no document says this"), model=False)
+def _(t):
+    return searched(t, "no document says this")
+
+
 @query("l_pair_facts", f" SELECT claim_id FROM live WHERE (src = '{PERSON}' AND dst = 'n:' || (SELECT c_nationkey FROM customer WHERE c_custkey = 7)) OR (dst = '{PERSON}' AND src = 'n:' || (SELECT c_nationkey FROM customer WHERE c_custkey = 7)) ORDER BY claim_id LIMIT 8")
 def _(t):
     nation = t.read("customer").where("c_custkey = 7").select(F.concat(F.lit("n:"), "c_nationkey").alias("other"))
