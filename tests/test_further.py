@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from quillgraph.functions import shaping
 from quillgraph.operators import choice, graph, segmentation, upkeep, vector_index
 from quillgraph.plans import catalogue, further, more  # noqa: F401
+from quillgraph.sources import contents
 
 
-@pytest.mark.parametrize("name", ["e_segmented", "f_indexed", "d_rejected_restored", "c_capped_links", "b_ego_edges", "l_search_rare", "j_aliases", "j_quoted"])
+@pytest.mark.parametrize("name", ["e_segmented", "f_indexed", "d_rejected_restored", "c_capped_links", "b_ego_edges", "l_search_rare", "j_aliases", "j_quoted", "m_sections", "m_anchors"])
 def test_query_equals_sql(spark, name):
     got = catalogue.QUERIES[name](spark, SMALL).toPandas()
     assert len(got) and differences(got, connect(SMALL).sql(catalogue.ORACLE[name]).df()) == ""
@@ -166,3 +167,49 @@ def test_communities_of_a_ring_of_cliques(spark):
     for r in labels.collect():
         groups.setdefault(r["community"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [[f"n{c}{a}" for a in range(5)] for c in range(6)]
+
+
+# --- contents and sections
+
+
+def test_a_book_is_split_by_its_contents(spark):
+    pages = {
+        1: ["A title", "7"],
+        2: ["Contents", "Chapter 1 Numbers", "1.1 Counting ..... 3", "1.2 Adding .... 9", "Chapter 2 Shapes", "2.1 Circles 14", "2.2 Squares 20", "3.1 Unlisted 30"],
+        3: ["# Chapter 1 Numbers", "why we count", "## 1.1 Counting", "one two"],
+        4: ["# 1.1 Counting", "three", "## 2.2 Squares", "see there"],
+        5: ["# 1.2 Adding", "plus", "# 1.2 Something else", "1.2 of them"],
+        6: ["# Chapter 2 Shapes", "round and square", "# 2.1 Circles", "pi"],
+    }
+    rows = [(b, p, 100 * p + i, line) for b in ("x", "y") for p, lines in pages.items() for i, line in enumerate(lines)]
+    toc, body = contents.contents(spark.createDataFrame(rows, "book STRING, page INT, at INT, line STRING"))
+    assert sorted(map(tuple, toc.where("book = 'x'").collect())) == [("x", 1, 1, 1, "Counting", "Numbers"), ("x", 2, 1, 2, "Adding", "Numbers"), ("x", 3, 2, 1, "Circles", "Shapes"), ("x", 4, 2, 2, "Squares", "Shapes")]
+    got = sorted(map(tuple, contents.by_sections(body, toc).collect()))
+    one = [(1, "why we count"), (1, "one two"), (1, "three"), (1, "## 2.2 Squares"), (1, "see there"), (2, "plus"), (2, "1.2 of them"), (3, "round and square"), (3, "pi")]
+    assert [(r[0], r[1], r[3]) for r in got] == [(b, *x) for b in ("x", "y") for x in one]
+    assert contents.by_sections(body.limit(0), toc).count() == 0
+
+
+def test_aligned_headings_equal_a_loop(spark):
+    rng = random.Random(11)
+    rows = [(b, i, rng.randint(1, 9)) for b in range(6) for i in range(rng.randint(0, 25))]
+    want = []
+    for b in range(6):
+        now = 0
+        for _, i, seq in [r for r in rows if r[0] == b]:
+            if now < seq <= now + 2:
+                now = seq
+                want.append((b, i, seq))
+    assert sorted(map(tuple, contents.aligned(spark.createDataFrame(rows, "book INT, at INT, seq INT").repartition(3)).collect())) == want
+
+
+def test_anchors_equal_a_loop(spark):
+    rng = random.Random(12)
+    rows = [(p, i, rng.choice(["img", "p", "p"]), f"{p}-{i}") for p in range(4) for i in range(rng.randint(0, 14))]
+    want = {}
+    for k, (p, i, kind, _) in enumerate(rows):
+        if kind == "img":
+            later, earlier = ([r[3] for r in side if r[0] == p and r[2] == "p"] for side in (rows[k + 1 :], rows[:k][::-1]))
+            want[p, i] = later[:3] + earlier[:2]
+    got = contents.anchors(spark.createDataFrame(rows, "page INT, at INT, kind STRING, text STRING").repartition(3)).collect()
+    assert {(r["page"], r["at"]): r["anchors"] for r in got} == want
