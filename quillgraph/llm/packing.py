@@ -12,7 +12,6 @@ as often as they occur (a text of any length is cut into pieces), and pieces of
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -54,8 +53,7 @@ class Encoder:
         with open(tokenizer_path, encoding="utf-8") as f:
             said = json.load(f)
         # a text with the string of an added token goes to the tokenizer as it is
-        added = [re.escape(t["content"]) for t in said.get("added_tokens") or () if t.get("content")]
-        self.odd = "|".join([ODD, *added])
+        self.added = [t["content"] for t in said.get("added_tokens") or () if t.get("content")]
         kind = said.get("pre_tokenizer") or {}
         self.plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not said.get("normalizer")
         self.words: dict[str, bytes] = {"": b""}  # without the blank before them
@@ -72,7 +70,9 @@ class Encoder:
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if not self.plain:
             return self.direct(texts.to_pylist())
-        odd = pc.match_substring_regex(texts, self.odd)
+        odd = pc.match_substring_regex(texts, ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
         even = iter(self.by_words(texts.filter(pc.invert(odd))))
         whole = iter(self.direct(texts.filter(odd).to_pylist()))
         return [next(whole if x else even) for x in odd.to_pylist()]
