@@ -30,9 +30,9 @@ PACKED = "doc_id {id}, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG,
 #: A blank before white space or the end.
 ODD = r" ([\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|$)"
 #: Entries of a cache; when it is full half of it goes, so memory is bounded. ``KEPT`` of them outlive a task.
-CACHE, KEPT = 300_000, 60_000
+CACHE, KEPT = 500_000, 150_000
 #: Bytes of text that are split and looked up at a time (a longer text goes by itself).
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 class Encoder:
