@@ -10,12 +10,12 @@ from conftest import SMALL
 from oracle import connect, differences
 from pyspark.sql import functions as F
 from quillgraph.functions import shaping
-from quillgraph.operators import choice, graph, segmentation, upkeep, vector_index
+from quillgraph.operators import choice, clusters, graph, plane, segmentation, upkeep, vector_index
 from quillgraph.plans import catalogue, further, more  # noqa: F401
-from quillgraph.sources import contents
+from quillgraph.sources import contents, layout
 
 
-@pytest.mark.parametrize("name", ["e_segmented", "f_indexed", "d_rejected_restored", "c_capped_links", "b_ego_edges", "l_search_rare", "j_aliases", "j_quoted", "m_sections", "m_anchors"])
+@pytest.mark.parametrize("name", ["e_segmented", "f_indexed", "d_rejected_restored", "c_capped_links", "b_ego_edges", "l_search_rare", "j_aliases", "j_quoted", "m_sections", "m_anchors", "m_paragraphs"])
 def test_query_equals_sql(spark, name):
     got = catalogue.QUERIES[name](spark, SMALL).toPandas()
     assert len(got) and differences(got, connect(SMALL).sql(catalogue.ORACLE[name]).df()) == ""
@@ -213,3 +213,91 @@ def test_anchors_equal_a_loop(spark):
             want[p, i] = later[:3] + earlier[:2]
     got = contents.anchors(spark.createDataFrame(rows, "page INT, at INT, kind STRING, text STRING").repartition(3)).collect()
     assert {(r["page"], r["at"]): r["anchors"] for r in got} == want
+
+
+# --- lines and paragraphs of boxes
+
+
+def plain_lines(boxes):
+    out = {}
+    for page in sorted({b[:2] for b in boxes}):
+        lines = []
+        for _, _, x, w, top, size, text in sorted((b for b in boxes if b[:2] == page and b[6].strip()), key=lambda b: (b[4], b[2], b[3], b[5], b[6])):
+            if lines and abs(top - lines[-1][0]) <= 0.55 * min(size, lines[-1][1]):
+                lines[-1][2].append((x, w, text, size))
+            else:
+                lines.append((top, size, [(x, w, text, size)]))
+        for n, (top, size, items) in enumerate(lines):
+            text, end = "", None
+            for x, w, t, _ in sorted(items):
+                text += (" " if end is not None and x - end > 0.3 * size and not text.endswith(" ") else "") + t
+                end = x + w
+            out[(*page, n)] = text, top, max(i[3] for i in items), min(i[0] for i in items), max(i[0] + i[1] for i in items)
+    return out
+
+
+def test_lines_equal_a_loop(spark):
+    rng = random.Random(13)
+    boxes = [(b, p, float(rng.randint(0, 300)), float(rng.randint(5, 40)), rng.randint(0, 200) / 2, float(rng.choice([8, 10, 14])), rng.choice(["ab", "c", " ", "d "])) for b in range(2) for p in range(3) for _ in range(30)]
+    got = layout.lines_of_boxes(spark.createDataFrame(boxes, "book INT, page INT, x DOUBLE, w DOUBLE, top DOUBLE, size DOUBLE, text STRING").repartition(3)).collect()
+    assert {(r["book"], r["page"], r["line"]): (r["text"], r["top"], r["size"], r["x0"], r["x1"]) for r in got} == plain_lines(boxes)
+
+
+def test_paragraphs_open_where_they_should(spark):
+    texts = [  # page, top, x0, x1, text
+        (1, 10, 0, 100, "first line"), (1, 22, 0, 100, "goes on"), (1, 34, 0, 50, "and ends early"), (1, 46, 0, 100, "a new one"), (1, 80, 0, 100, "far below."),
+        (1, 92, 20, 100, "indented after an end"), (1, 104, 20, 100, "indented again"), (2, 10, 0, 100, "next page"), (2, 22, 0, 100, "1.2 clause"), (2, 34, 0, 100, "中文"), (2, 46, 0, 100, "接着"),
+    ]
+    rows = [("b", p, i, t, float(top), 10.0, float(a), float(b)) for i, (p, top, a, b, t) in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "book STRING, page INT, line INT, text STRING, top DOUBLE, size DOUBLE, x0 DOUBLE, x1 DOUBLE")
+    got = [r["text"] for r in layout.paragraphs(lines).orderBy("no").collect()]
+    assert got == ["first line goes on and ends early", "a new one", "far below.", "indented after an end indented again next page", "1.2 clause 中文接着"]
+    assert layout.paragraphs(lines.limit(0)).count() == 0
+
+
+# --- names
+
+
+def test_names_that_mean_nobody(spark):
+    def told(names, kind, english=False):
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i INT, n STRING").orderBy("i")
+        return [r[0] for r in df.select(shaping.generic_name(F.col("n"), kind, english)).collect()]
+
+    assert told(["林冲", "两个都头", "都头", "众好汉", "他们", "冲", None, "大小头领", "李逵等人"], "novel") == [False, True, True, True, True, True, True, True, True]
+    assert told(["圆", "例1", "练习 2", None, "", "三角形"], "textbook") == [False, True, True, True, True, False]
+    assert told(["归档文件", "本标准", "本章", "附录A", "表 A1", "图2", "第三章", "注", "本地"], "topic") == [False, True, True, True, True, True, True, True, False]
+    assert told(["Mr. Darcy", "the servant", "The  old man", "His Majesty", "Miss", "X", "林冲", "My aunt"], "novel", True) == [False, True, True, False, True, True, False, True]
+
+
+def test_names_of_wives(spark):
+    names = ["林冲娘子", "林冲的娘子", "林冲之妻", "林冲妻子", "林冲浑家", "的妻", "妻", "林冲", "一二三四五妻", "一二三四的妻", None]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i INT, n STRING").orderBy("i").select(shaping.spouse_key(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["林冲#妻"] * 5 + ["的#妻", None, None, None, "一二三四#妻", None]
+
+
+# --- the neighbourhood map
+
+
+def kept_neighbours(v, at, k=10):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    d = -((at[:, None] - at[None]) ** 2).sum(2)
+    np.fill_diagonal(d, -np.inf)
+    a, b = np.argsort(-s, axis=1)[:, :k], np.argsort(-d, axis=1)[:, :k]
+    return np.mean([len(set(x) & set(y)) / k for x, y in zip(a, b, strict=True)])
+
+
+def test_the_map_keeps_neighbours_better_than_two_components(spark):
+    v = clustered(160, d=16, seed=14)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    start = clusters.plane(df).select(F.col("vec_id").alias("id"), (F.col("x") / 9.5).alias("x"), (F.col("y") / 9.5).alias("y")).cache()
+    got = plane.neighbourhood_plane(df, start, k=10, rounds=12)
+    before, after = ([(r["x"], r["y"]) for r in d.orderBy("id").collect()] for d in (start, got))
+    assert len(after) == 160 and kept_neighbours(v, np.array(after)) > 1.25 * kept_neighbours(v, np.array(before))
+
+
+def test_weights_count_as_many_neighbours(spark):
+    rows = [(q, i, 1 - 0.01 * (abs(q - i))) for q in range(12) for i in range(12) if 0 < abs(q - i) <= 4]
+    got = {(r["a"], r["b"]): r["weight"] for r in plane.fuzzy_weights(spark.createDataFrame(rows, "query_id INT, id INT, similarity DOUBLE"), 8).collect()}
+    assert all(0 < w <= 1 for w in got.values()) and got[5, 6] == pytest.approx(1) and got[5, 6] > got[5, 7] > got[5, 9]
