@@ -407,12 +407,16 @@ def _(t):
     return text.segments(t.read("documents").select("doc_id", "text"))
 
 
-@query("e_windows")
+@query("e_windows", """WITH RECURSIVE par AS (SELECT doc_id, unnest(x) AS p, CAST(unnest(range(len(x))) AS INTEGER) AS i FROM (SELECT doc_id, string_split(coalesce("text", ''), chr(10)) AS x FROM documents)),
+run AS (SELECT doc_id, i, CAST(length(p) AS BIGINT) AS size, 0 AS win FROM par WHERE i = 0
+UNION ALL SELECT r.doc_id, q.i, CASE WHEN r.size > 0 AND r.size + length(q.p) > 2000 THEN length(q.p) ELSE r.size + length(q.p) END, CASE WHEN r.size > 0 AND r.size + length(q.p) > 2000 THEN win + 1 ELSE win END FROM run r JOIN par q ON q.doc_id = r.doc_id AND q.i = r.i + 1)
+SELECT doc_id AS id, win AS "window", min(i) AS first, max(i) + 1 AS past FROM run GROUP BY doc_id, win""", model=False)
 def _(t):
     return text.windows(t.read("documents").select("doc_id", "text"), limit=2000)
 
 
-@query("e_name_counts")
+@query("e_name_counts", """WITH nm AS (SELECT 'n:' || n_nationkey AS entity_id, n_name AS name FROM nation UNION ALL SELECT 'w:' || w, w FROM (SELECT unnest(['the', 'they', 'les', 'der']) AS w)),
+tok AS (SELECT doc_id AS id, unnest(regexp_split_to_array("text", '[^A-Za-z0-9]+')) AS name FROM documents) SELECT id, entity_id, count(*) AS n FROM tok JOIN nm USING (name) GROUP BY id, entity_id""", model=False)
 def _(t):
     names = [(f"n:{r[0]}", r[1]) for r in t.read("nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
     return text.name_counts(t.read("documents").select("doc_id", "text"), [*names, ("w:the", "the"), ("w:they", "they"), ("w:les", "les"), ("w:der", "der")])
@@ -612,7 +616,11 @@ def _(t):
     return events.over_limit(events.with_time(t.read("events")), 3, 86_400)
 
 
-@query("h_task_states")
+@query("h_task_states", """WITH RECURSIVE log AS (SELECT user_id, ['enqueue', 'claim', 'fail', 'done'][event_id % 4 + 1] AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+run AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, '' AS status, 0 AS tries, 0 AS priority FROM log
+UNION ALL SELECT run.user_id, log.i, CASE WHEN a = 'enqueue' THEN CASE WHEN status IN ('', 'pending') THEN 'pending' ELSE status END WHEN a = 'claim' THEN 'processing' WHEN a = 'done' THEN 'done' WHEN tries >= 2 THEN 'failed' ELSE 'pending' END,
+CASE WHEN a = 'fail' THEN tries + 1 ELSE tries END, CASE WHEN a = 'enqueue' AND status IN ('', 'pending') THEN 100 ELSE priority END FROM run JOIN log ON log.user_id IS NOT DISTINCT FROM run.user_id AND log.i = run.i + 1)
+SELECT user_id AS task_id, status, tries, priority FROM run QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""", model=False)
 def _(t):
     e = t.read("events")
     log = e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.element_at(F.array(*map(F.lit, ["enqueue", "claim", "fail", "done"])), (F.col("event_id") % 4 + 1).cast("int")).alias("action"), F.lit(100).alias("priority"))

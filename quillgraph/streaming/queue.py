@@ -3,7 +3,7 @@
 A log holds task_id, seq, at (TIMESTAMP), action, priority and depth. Actions count as follows, all others not at all:
 
 - ``enqueue`` makes a new task, or changes priority and depth of one that is pending or waiting;
-- ``claim`` takes a pending task; ``done`` and ``fail`` end the processing of one;
+- ``claim`` takes a pending task; ``done`` and ``fail`` tell of any known task how its processing ended;
 - a failed task waits ``wait`` seconds and is pending again, until it has failed ``most_tries`` times: then it is failed;
 - ``retry`` makes any known task pending with no failures, and lifts priorities below 1000 by 200;
 - ``priority`` sets the priority of any known task; a task that is done is forgotten after ``keep`` seconds.
@@ -55,9 +55,9 @@ class Rules:
             new = t._replace(status=t.status or "pending", priority=priority, depth=depth)
         elif action == "claim" and t.status == "pending":
             new = t._replace(status="processing")
-        elif action == "done" and t.status == "processing":
+        elif action == "done" and t.status:
             new = t._replace(status="done", due=None if self.keep is None else us + int(self.keep * 1e6))
-        elif action == "fail" and t.status == "processing":
+        elif action == "fail" and t.status:
             tries = t.tries + 1
             last, waits = tries >= self.most_tries, self.wait > 0
             new = t._replace(status="failed" if last else "waiting" if waits else "pending", tries=tries, due=us + int(self.wait * 1e6) if waits and not last else None)
