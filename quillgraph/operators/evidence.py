@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators.contain import contained
+from quillgraph.operators.contain import texts_within
 from quillgraph.operators.edges import EDGE
 from quillgraph.plans.storage import stored
 
@@ -15,11 +15,18 @@ def mentions(questions: DataFrame, names: DataFrame, most: int = 4) -> DataFrame
 
     Names are (id, text), any number to an entity; they are found by way of grams that they share with questions.
     """
-    found = contained(names, questions)
-    placed = found.join(questions.select(F.col("id").alias("hay_id"), F.col("text").alias("hay")), "hay_id").join(names.select(F.col("id").alias("needle_id"), F.col("text").alias("needle")), "needle_id")
-    first = placed.where(F.contains("hay", F.col("needle"))).groupBy(F.col("hay_id").alias("question_id"), F.col("needle_id").alias("entity_id")).agg(F.min(F.expr("instr(hay, needle)")).alias("place"))
-    i = F.row_number().over(Window.partitionBy("question_id").orderBy("place", "entity_id"))
-    return first.withColumn("i", i).where(F.col("i") <= most).select("question_id", "entity_id", "i")
+    found = texts_within(names, questions).withColumn("place", F.expr("instr(hay, needle)"))
+    # entities of one name stand at one place, so of them only the first ``most`` can be among the first of a text
+    same = names.select(F.col("id").alias("entity_id"), F.col("text").alias("needle")).distinct()
+    same = same.withColumn("i", F.row_number().over(Window.partitionBy("needle").orderBy("entity_id"))).where(F.col("i") <= most).drop("i")
+
+    def first(placed: DataFrame, key: str) -> DataFrame:
+        one = placed.groupBy(key, "entity_id").agg(F.min("place").alias("place"))
+        return one.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("place", "entity_id"))).where(F.col("i") <= most)
+
+    of_text = first(found.join(same, "needle"), "hay").drop("i")
+    asked = questions.select(F.col("id").alias("question_id"), F.col("text").alias("hay")).distinct()
+    return first(asked.join(of_text, "hay"), "question_id").select("question_id", "entity_id", "i")
 
 
 def picks(metrics: DataFrame, claims: DataFrame, entities: DataFrame, most: int, per_edge: int = 2) -> DataFrame:
