@@ -58,3 +58,13 @@ def test_hubs_read_the_graph_once(spark):
             want.setdefault(x, []).append(y // 9)
     got = {r["entity_id"]: (r["weighted_degree"], r["community_span"]) for r in graph.hubs(g, labels).collect()}
     assert got == {n: (0.5 * len(c), len(set(c))) for n, c in want.items()}
+
+
+def test_search_reads_all_documents_and_vectors(spark, tmp_path):
+    from quillgraph.plans import catalogue, more  # noqa: F401
+
+    spark.createDataFrame([(i, "all rights reserved" if i in (5, 70, 71, 72) else "x") for i in range(80)], "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "vec_id LONG, embedding ARRAY<FLOAT>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in catalogue.QUERIES["l_search"](spark, str(tmp_path)).collect()]
+    assert got[:4] == [(i, "words") for i in (5, 70, 71, 72)]  # three of them have no vector
+    assert got[4:] == [(i, "meaning") for i in range(1, 21) if i != 5][:16]
