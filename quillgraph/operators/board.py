@@ -11,9 +11,9 @@ NAME_STARTS, SIZE_STARTS = (0, 2, 4, 7, 11), (0, 400, 550, 700, 900)
 
 def tags(counts: DataFrame, most: int) -> DataFrame:
     """(id, tags, found): the ``most`` most frequent names of each passage, from (id, entity_id, n), and how many there are; ties by entity."""
-    w = Window.partitionBy("id").orderBy(F.desc("n"), "entity_id")
-    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "entity_id")))["entity_id"].alias("tags"))
-    return top.join(counts.groupBy("id").agg(F.count(F.lit(1)).alias("found")), "id")
+    # names of a passage are few, so they are one array: counts, which may be costly to make, are read once
+    every = counts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "entity_id")))["entity_id"].alias("every"))
+    return every.select("id", F.slice("every", 1, most).alias("tags"), F.size("every").cast("long").alias("found"))
 
 
 def _bucket(value: Column, starts: tuple[int, ...]) -> tuple[Column, list[str]]:

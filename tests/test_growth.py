@@ -1,6 +1,7 @@
 """Steps that must grow with their input or their result, on small made-up rows."""
 
-from quillgraph.operators import contain, edges, entities, evidence, graph
+import numpy as np
+from quillgraph.operators import board, contain, edges, entities, evidence, graph, text, vector_index
 
 
 def joins(df) -> str:
@@ -68,3 +69,37 @@ def test_search_reads_all_documents_and_vectors(spark, tmp_path):
     got = [tuple(r) for r in catalogue.QUERIES["l_search"](spark, str(tmp_path)).collect()]
     assert got[:4] == [(i, "words") for i in (5, 70, 71, 72)]  # three of them have no vector
     assert got[4:] == [(i, "meaning") for i in range(1, 21) if i != 5][:16]
+
+
+def test_tags_count_names_once(spark):
+    units = spark.createDataFrame([(1, "the cat, the dog; catalogue"), (2, None), (3, "New York the")], "doc_id LONG, text STRING")
+    for names in ([("a", "the"), ("b", "cat"), ("c", "dog")], [("a", "the"), ("b", "cat"), ("c", "dog"), ("d", "New York")]):
+        found = board.tags(text.name_counts(units, names), 2)
+        assert joins(found).count("MapInArrow") == 1
+        want = {1: (["a", "b"], 3), 3: (["d", "a"], 2) if len(names) > 3 else (["a"], 1)}
+        got = {r["id"]: (r["tags"], r["found"]) for r in found.collect()}
+        assert {k: (sorted(t), n) for k, (t, n) in got.items()} == {k: (sorted(t), n) for k, (t, n) in want.items()} and got[1] == want[1]
+
+
+def test_components_send_no_labels_to_all_tasks(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 7], "a INT, b INT")
+    plans = []
+    kept, graph.stored = graph.stored, lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, label))[1]
+    try:
+        got = {r["node"]: r["component"] for r in graph.components(pairs).collect()}
+    finally:
+        graph.stored = kept
+    assert got == {i: max(j for j in (1, 8, 15, 22, 29) if j <= i) for i in range(1, 31)}
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_first_of_each_row():
+    rng = np.random.default_rng(5)
+    s = np.round(rng.random((30, 200)), 2) + rng.random((30, 200)) * 3e-7  # many ties once rounded
+    s[rng.random(s.shape) < 0.1] = -np.inf
+    ids = rng.permutation(200)
+    for k in (1, 10, 250):
+        i, j, best = vector_index.firsts(s.copy(), ids, k)
+        for row in range(30):
+            want = sorted((-round(x, 6), n) for x, n in zip(s[row], ids, strict=True) if x > -np.inf)[:k]
+            assert [(-b, n) for b, n in zip(best[i == row], ids[j[i == row]], strict=True)] == want
