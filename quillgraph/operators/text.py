@@ -123,13 +123,12 @@ def name_counts(units: DataFrame, names: list[tuple[str, str]], *, id_col: str =
         from collections import Counter
 
         who = shared.value
-        if all(re.fullmatch("[A-Za-z0-9]+", n) for n in who):  # such names are whole words, which are looked up
-            words = re.compile("[A-Za-z0-9]+").findall
+        # names that are one word are looked up; the pattern is for texts in which another name stands
+        others, words, whole = [n for n in who if not re.fullmatch("[A-Za-z0-9]+", n)], re.compile("[A-Za-z0-9]+").findall, pattern(list(who)).findall
+
+        def find(text: str) -> Iterator[str]:
+            return iter(whole(text)) if any(n in text for n in others) else filter(who.__contains__, words(text))
 
-            def find(text: str) -> Iterator[str]:
-                return filter(who.__contains__, words(text))
-        else:
-            find = pattern(list(who)).findall
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
