@@ -115,3 +115,25 @@ def test_coded_claims_say_what_claims_say(spark):
     want = t.claims.select(*cols, (F.col("status") != "rejected").alias("live"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert dict(t.coded_claims.dtypes)["src"] == "bigint"
+
+
+def test_gather_reads_claims_with_their_edges(spark):
+    """The picked claims come with the stored edges, so lines aren't read, shuffled and joined by edge again."""
+    from quillgraph.plans import catalogue, composed  # noqa: F401
+
+    assert not [f for f in catalogue.QUERIES["l_gather"](spark, SMALL).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_cited_edges_have_the_first_claims_of_edges(spark):
+    t = harness.Tables(spark, SMALL)
+    live = t.coded_claims.where("live").withColumns(harness.claim_key())
+    units = edges.entity_units(t.coded_places)
+    found = edges.cited_edges(live, units, ["key", "line"], ["ch", harness.cited(F.struct("predicate", "key", "line"))])
+    said = F.transform("firsts", lambda c: harness.cited(F.struct(F.col("predicate").alias("predicate"), c["key"].alias("key"), c["line"].alias("line"))))
+    got = {(r["src"], r["predicate"], r["dst"]): (r["weight"], r["firsts"]) for r in harness.spelled(found.withColumn("firsts", said), "src", "dst").collect()}
+    weights = {(r["src"], r["predicate"], r["dst"]): r["weight"] for r in harness.spelled(edges.edge_metrics(live, units), "src", "dst").collect()}
+    want: dict = {}
+    for r in t.live.select("src", "predicate", "dst", "ch", "claim_id").collect():
+        want.setdefault((r["src"], r["predicate"], r["dst"]), []).append((r["ch"], r["claim_id"]))
+    assert any(len(c) > 2 for c in want.values())
+    assert got == {e: (weights[e], [i for _, i in sorted(c)[:2]]) for e, c in want.items()}
