@@ -17,6 +17,10 @@ def _as_it_is(c: Column) -> Column:
     return c
 
 
+def _any(_: Column) -> Column:
+    return F.lit(True)
+
+
 class Spelling(NamedTuple):
     """How entities, predicates and claims that travel as codes are written. Ties are broken by what is written; it is made after the shuffles."""
 
@@ -52,26 +56,27 @@ def with_firsts(metrics: DataFrame, claims: DataFrame, per_edge: int = 2) -> Dat
     return metrics.select(*EDGE, "weight").join(firsts, EDGE)
 
 
-def picks(relations: DataFrame, entities: DataFrame, most: int, spelling: Spelling = Spelling()) -> DataFrame:
+def picks(relations: DataFrame, entities: DataFrame, most: int, spelling: Spelling = Spelling(), may: Callable[[Column], Column] = _any) -> DataFrame:
     """(entity_id, claim_id, r): for each of ``entities`` (entity_id) its claims in the order in which a note cites them.
 
     The first claim of each edge from the strongest on, then the second of each, up to ``most``. ``relations`` bring (src, predicate,
-    dst, weight, firsts); their claims are spread to both ends and shuffled once.
+    dst, weight, firsts); their claims are spread to the ends that ``may`` be among ``entities`` and shuffled once.
     """
-    ends = relations.withColumn("entity_id", F.explode(F.array_distinct(F.array("src", "dst")))).select("entity_id", *EDGE, "weight", F.posexplode("firsts").alias("turn", "claim_id"))
+    ends = relations.withColumn("entity_id", F.explode(F.array_distinct(F.array("src", "dst")))).where(may(F.col("entity_id"))).select("entity_id", *EDGE, "weight", F.posexplode("firsts").alias("turn", "claim_id"))
     ends = ends.repartition("entity_id").join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
     edge = [spelling.entity(F.col("src")), spelling.predicate(F.col("predicate")), spelling.entity(F.col("dst"))]
     order = Window.partitionBy("entity_id").orderBy("turn", F.desc("weight"), *edge)
     return ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("entity_id", "claim_id", "r")
 
 
-def gather(questions: DataFrame, names: DataFrame, metrics: DataFrame, claims: DataFrame, *, most: int = 40, least_each: int = 6, per_pair: int = 8, enough: int = 24, spelling: Spelling = Spelling()) -> DataFrame:
+def gather(questions: DataFrame, names: DataFrame, metrics: DataFrame, claims: DataFrame, *, most: int = 40, least_each: int = 6, per_pair: int = 8, enough: int = 24, spelling: Spelling = Spelling(), may: Callable[[Column], Column] = _any) -> DataFrame:
     """(question_id, n, claim_id, about): the facts to answer each question with, numbered from 1.
 
     First the claims between two mentioned entities, pair by pair until ``enough`` are there; then for each entity in turn its
     picked claims, an equal share of what is left but ``least_each`` at least; none twice, ``most`` in all. ``about`` is the pair
     or the entity. A question that mentions nobody has no rows. Where ``metrics`` bring the ``firsts`` of each edge, ``claims`` are
-    read for pairs only; ids may then be codes, which ``spelling`` writes out.
+    read for pairs only; ids may then be codes, which ``spelling`` writes out. ``may`` tells
+    from an id whether names can have it, so that the claims of others needn't travel.
     """
     asked = stored(mentions(questions, names, entity=spelling.entity), "mentions")
     other = asked.select("question_id", F.col("entity_id").alias("other"), F.col("i").alias("j"))
@@ -90,7 +95,7 @@ def gather(questions: DataFrame, names: DataFrame, metrics: DataFrame, claims: D
     room = asked.groupBy("question_id").agg(F.count(F.lit(1)).alias("k")).join(facts.groupBy("question_id").agg(F.count_distinct("claim_id").alias("n")), "question_id", "left")
     share = room.select("question_id", F.greatest(F.lit(least_each), F.floor((most - F.coalesce("n", F.lit(0))) / F.col("k"))).alias("each"))
     relations = metrics if "firsts" in metrics.columns else with_firsts(metrics, claims)
-    chosen = picks(relations, asked, most, spelling)
+    chosen = picks(relations, asked, most, spelling, may)
     nobody = F.lit(None).cast(facts.schema["other"].dataType)
     own = asked.join(share, "question_id").join(chosen, "entity_id").where("r <= each").select("question_id", "claim_id", F.lit(1).alias("stage"), F.col("i").alias("x"), F.lit(0).alias("y"), "r", F.col("entity_id").alias("one"), nobody.alias("other"))
     # dealt by question once, for the rows of a claim and for the count; stage, x, y and r tell a question's rows apart
