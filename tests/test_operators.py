@@ -153,6 +153,15 @@ def test_paths_and_ego(spark):
     assert [r["entity_id"] for r in graph.ego(e, "a", 1, limit=2).orderBy("hop").collect()] == ["a", "c"]
 
 
+def test_best_path_is_found_among_many(spark):
+    ways = [(x, y, 0.9 if i == 249 else 0.1) for i in range(250) for x, y in (("a", f"m{i:03}"), (f"m{i:03}", "z"))]
+    e = spark.createDataFrame(ways, "src STRING, dst STRING, weight DOUBLE")
+    assert found(graph.shortest_paths(e, "a", "z", top=1)) == [("a>m249>z", 2, 0.9)]
+    assert graph.shortest_paths(e, "a", "z", top=300).count() == 250
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}", 0.5) for i in range(5)], "src STRING, dst STRING, weight DOUBLE")
+    assert found(graph.shortest_paths(chain, "c0", "c5", max_hops=5)) == [("c0>c1>c2>c3>c4>c5", 5, 0.5)]
+
+
 def test_components(spark):
     p = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("x", "y")], "a STRING, b STRING")
     got = dict(found(graph.components(p)))
