@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators.graph import both_ways
+from quillgraph.operators.graph import shared_neighbours
 
 
 def search_all(entities: DataFrame, keyword: str, each: int = 5, graph: str = "graph_id") -> DataFrame:
@@ -47,14 +49,12 @@ def visible(nodes: DataFrame, links: DataFrame, *, focus: str | None = None, yea
     return out
 
 
-def related_because(edges: DataFrame, center: str, limit: int = 8, reasons: int = 2) -> DataFrame:
+def related_because(edges: DataFrame, center: Column | str, limit: int = 8, reasons: int = 2, named: Callable[[Column], Column] | None = None) -> DataFrame:
     """(entity_id, score, shared, via): recommendations as ``graph.related`` gives them, with the shared neighbours that weigh most (the rarest, ties by id)."""
-    pairs = both_ways(edges).select("x", "y").distinct()
-    mine = pairs.where(F.col("x") == center).select(F.col("y").alias("z"))
-    degree = pairs.groupBy(F.col("x").alias("z")).agg(F.count(F.lit(1)).alias("degree")).join(mine, "z")
-    via = pairs.join(degree, F.col("x") == F.col("z")).where(F.col("y") != center).select(F.col("y").alias("entity_id"), "z", "degree")
-    open_ = via.join(mine.withColumnRenamed("z", "entity_id"), "entity_id", "left_anti")
+    open_ = shared_neighbours(edges, center)
     top = open_.groupBy("entity_id").agg(F.round(F.sum(1 / F.log(F.col("degree") + 1)), 4).alias("score"), F.count(F.lit(1)).alias("shared"))
+    if named:
+        open_, top = open_.withColumns({c: named(F.col(c)) for c in ("entity_id", "z")}), top.withColumn("entity_id", named(F.col("entity_id")))
     top = top.orderBy(F.desc("score"), F.desc("shared"), "entity_id").limit(min(limit, 20))
     why = open_.join(F.broadcast(top), "entity_id").withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy("degree", "z"))).where(F.col("r") <= reasons)  # at most 20 rows
     return why.groupBy("entity_id", "score", "shared").agg(F.sort_array(F.collect_list(F.struct("r", "z")))["z"].alias("via"))

@@ -158,3 +158,15 @@ def test_communities_take_few_rounds_and_lose_none(spark):
             ends[of[x]] = ends.get(of[x], 0.0) + w
     m = sum(weights.values())
     assert inside / m - sum(d * d for d in ends.values()) / (4 * m * m) > 0.08
+
+
+def test_recommendations_shuffle_edges_of_neighbours_only(spark):
+    rows = [("a", "z"), ("z", "b"), ("b", "a2"), ("y", "a"), ("c", "y"), ("b", "y"), ("y", "z")] + [(f"x{i}", f"w{i}") for i in range(500)]
+    tables = {}
+    kept, graph.stored = graph.stored, lambda df, label: tables.setdefault(label, kept(df, label))
+    try:
+        got = [tuple(r) for r in graph.related(spark.createDataFrame(rows, "src STRING, dst STRING"), "a").collect()]
+    finally:
+        graph.stored = kept
+    assert [(n, shared) for n, _, shared in got] == [("b", 2), ("c", 1)]
+    assert tables["related-near"].count() == 7  # of z: a, b, y; of y: a, b, c, z
