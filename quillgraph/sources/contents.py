@@ -5,6 +5,8 @@ Lines are (book, at, line), in the order of ``at`` within a book. Only headings
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ def contents(pages: DataFrame, front: int = 16, least: int = 3) -> tuple[DataFra
     return toc.select("book", "seq", "chapter_no", "section_no", "title", "chapter_title"), body
 
 
-def aligned(headings: DataFrame, ahead: int = 2) -> DataFrame:
+def aligned(headings: DataFrame, ahead: int = 2, inline: bool = True) -> DataFrame:
     """(book, at, seq) of the headings (book, at, seq) that go on from the one before: later in the contents, by ``ahead`` entries at most.
+    Without ``inline`` a row a book: (book, kept), an array of (at, seq).
 
     So a running head of an earlier section, or a reference to a later one, doesn't open a section, and one missed heading does no harm.
     """
@@ -57,7 +60,7 @@ def aligned(headings: DataFrame, ahead: int = 2) -> DataFrame:
 
     one = F.struct(F.col("at").cast("long").alias("at"), F.col("seq").cast("int").alias("seq"))
     folded = headings.groupBy("book").agg(F.sort_array(F.collect_list(one)).alias("all")).select("book", F.aggregate("all", start, step)["kept"].alias("kept"))
-    return folded.select("book", F.inline("kept"))
+    return folded.select("book", F.inline("kept")) if inline else folded
 
 
 def by_sections(body: DataFrame, toc: DataFrame, ahead: int = 2) -> DataFrame:
@@ -66,21 +69,27 @@ def by_sections(body: DataFrame, toc: DataFrame, ahead: int = 2) -> DataFrame:
     A section's heading has a mark (#), its number and a title that matches. Between the heading of a new chapter and that of its first section, lines
     are the introduction and go to that section. Headings themselves, also repeated ones, are no lines of a section.
     """
-    rows = numbered(body.select("book", F.col("at").cast("long").alias("at"), "line"))
+    rows = numbered(body.select("book", F.col("at").cast("long").alias("at"), "line").repartition("book"))
     marks = F.col("line").rlike(r"^\s*#")  # a number alone makes no heading in the body
     rows = rows.withColumns({c: F.when(marks, F.col(c)) for c in ("chapter_no", "section_no")})
-    names = toc.select("book", "chapter_no", "section_no", "seq", F.col("title").alias("toc_title"))
-    known = rows.join(names, ["book", "chapter_no", "section_no"], "left")
-    opens = aligned(known.where(F.col("seq").isNotNull() & titles_match(F.col("toc_title"), F.col("title"))).select("book", "at", "seq"), ahead)
-    marked = known.select("book", "at", "line", "chapter_no", "section_no", F.col("seq").alias("named")).join(opens, ["book", "at"], "left")
+    chapter = F.col("section_no").isNull() & F.col("chapter_no").isNotNull()
+    # a row a book, so lines, contents and headings meet where the lines are, and nothing else of them is shuffled
+    listed = toc.select("book", "chapter_no", "section_no", "seq", "title").repartition("book").groupBy("book").agg(F.collect_list(F.struct("chapter_no", "section_no", "seq", "title")).alias("toc"))
+
+    def entry(test: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter("toc", test), F.lit(0))
+
+    here = F.when(F.col("section_no").isNotNull(), entry(lambda e: (e["chapter_no"] == F.col("chapter_no")) & (e["section_no"] == F.col("section_no"))))
+    known = rows.join(listed.hint("shuffle_hash"), "book", "left").withColumn("here", here)
+    named = F.col("here.seq")
+    opens = aligned(known.where(named.isNotNull() & titles_match(F.col("here.title"), F.col("title"))).select("book", "at", named.alias("seq")), ahead, inline=False)
+    opened = F.when(named.isNotNull(), F.get(F.filter("kept", lambda h: h["at"] == F.col("at")), F.lit(0))["seq"])
+    marked = known.join(opens.hint("shuffle_hash"), "book", "left").select("book", "at", "line", "chapter_no", "section_no", named.alias("named"), opened.alias("seq"), F.when(chapter, F.transform("toc", lambda e: F.struct(e["seq"].alias("seq"), e["chapter_no"].alias("chapter_no")))).alias("toc"))
     along = Window.partitionBy("book").orderBy("at")
     rest = along.rowsBetween(0, Window.unboundedFollowing)
     marked = marked.withColumns({"now": F.coalesce(F.last("seq", ignorenulls=True).over(along), F.lit(0)), "next": F.first("seq", ignorenulls=True).over(rest)})
-    upcoming = toc.select("book", (F.col("seq") - 1).alias("now"), F.col("chapter_no").alias("next_chapter"))
-    current = toc.select("book", F.col("seq").alias("now"), F.col("chapter_no").alias("now_chapter"))
-    marked = marked.join(upcoming, ["book", "now"], "left").join(current, ["book", "now"], "left")
-    chapter = F.col("section_no").isNull() & F.col("chapter_no").isNotNull()
-    new = chapter & (F.col("chapter_no") == F.col("next_chapter")) & ~F.col("next_chapter").eqNullSafe(F.col("now_chapter"))
+    upcoming, current = entry(lambda e: e["seq"] == F.col("now") + 1)["chapter_no"], entry(lambda e: e["seq"] == F.col("now"))["chapter_no"]
+    new = chapter & (F.col("chapter_no") == upcoming) & ~upcoming.eqNullSafe(current)
     within = Window.partitionBy("book", "now").orderBy("at")
     marked = marked.withColumn("intro", F.max(new.cast("int")).over(within))
     seq = F.when(F.coalesce(F.col("intro"), F.lit(0)) == 1, F.col("next")).otherwise(F.col("now"))

@@ -170,3 +170,20 @@ def test_recommendations_shuffle_edges_of_neighbours_only(spark):
         graph.stored = kept
     assert [(n, shared) for n, _, shared in got] == [("b", 2), ("c", 1)]
     assert tables["related-near"].count() == 7  # of z: a, b, y; of y: a, b, c, z
+
+
+def test_sections_are_shuffled_by_book_only(spark):
+    from quillgraph.sources import contents
+
+    body = spark.createDataFrame([(b, i, f"## 1.{i // 2 + 1} part {i // 2 + 1}" if i % 2 == 0 else "text") for b in ("x", "y") for i in range(8)], "book STRING, at INT, line STRING")
+    toc = spark.createDataFrame([(b, n, 1, n, f"part {n}") for b in ("x", "y") for n in (1, 2, 3, 4)], "book STRING, seq INT, chapter_no INT, section_no INT, title STRING")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contents.by_sections(body, toc)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["book"], r["seq"], r["at"]) for r in found.collect()) == [(b, n, 2 * n - 1) for b in ("x", "y") for n in (1, 2, 3, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = [line.split("hashpartitioning(")[1].split(")")[0].split(",")[:-1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all(len(keys) == 1 and keys[0].startswith("book#") for keys in dealt)
