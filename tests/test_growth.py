@@ -187,3 +187,16 @@ def test_sections_are_shuffled_by_book_only(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     dealt = [line.split("hashpartitioning(")[1].split(")")[0].split(",")[:-1] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert dealt and all(len(keys) == 1 and keys[0].startswith("book#") for keys in dealt)
+
+
+def test_vectors_travel_as_they_are_stored(spark):
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(60)], "vec_id LONG, embedding ARRAY<FLOAT>")
+    index = vector_index.build(v, cells=4)
+    assert dict(index.rows.dtypes)["v"] == "array<float>"
+    m = vector_index.unit(v.select("embedding").toArrow().column(0))
+    got = sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in vector_index.search(index, v, 3, exact=True).collect())
+    s = np.round(m @ m.T, 6)
+    np.fill_diagonal(s, -9)
+    want = [(i, k + 1, int(j), s[i, j]) for i in range(60) for k, j in enumerate(sorted(range(60), key=lambda j: (-s[i, j], j))[:3])]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
